@@ -1,0 +1,158 @@
+import os
+import threading
+import time
+
+import pytest
+
+from textlode.facade import TextIndex
+from textlode.filters import DefaultFilter, FileFilter
+from textlode.index import InvertedIndex
+from textlode.operators.resolvers import FullScanResolver, StandardResolver, TrigramResolver
+from textlode.operators.search import by_document, scan_hits
+from textlode.operators.tokenizers import RegexTokenizer, TrigramTokenizer, WhitespaceTokenizer
+from textlode.sources.walk import read_folders, walk
+
+
+def contents(spark, **files):
+    return spark.createDataFrame([(k, bytearray(v if isinstance(v, bytes) else v.encode())) for k, v in files.items()], "path string, content binary")
+
+
+def hits(index, resolver, query):
+    rows = resolver.search(index.snapshot(), query).collect()
+    assert all(r.term == query for r in rows)
+    return sorted((r.path, r.position) for r in rows)
+
+
+THREE = {"p1": "one two three four", "p2": "two four six eight", "p3": "two four eight sixteen"}
+
+
+def test_add_delete_update(spark, tmp_path):
+    index, seen = InvertedIndex(spark, f"file://{tmp_path}/i", WhitespaceTokenizer()), []
+    assert hits(index, StandardResolver(), "two") == [] and not index.has_documents()
+    index.add_batch(contents(spark, **THREE), seen.append)
+    assert seen and all(0 <= x <= 100 for x in seen) and index.has_documents()
+    assert hits(index, StandardResolver(), "two") == [("p1", 4), ("p2", 0), ("p3", 0)]
+    index.delete(spark.createDataFrame([("p2",), ("unknown",)], "path string"))
+    assert hits(index, StandardResolver(), "two") == [("p1", 4), ("p3", 0)]
+    index.update(contents(spark, p3="one two", other="two"))
+    assert hits(index, StandardResolver(), "two") == [("p1", 4), ("p3", 4)]
+    index.add(contents(spark, p1="two"))
+    assert hits(index, StandardResolver(), "two") == [("p1", 0), ("p3", 4)]
+    index.compact()
+    assert hits(index, StandardResolver(), "two") == [("p1", 0), ("p3", 4)]
+    assert len(index.manifest().generations) == 1
+    index.add(contents(spark, p2="two"))
+    assert hits(index, StandardResolver(), "two") == [("p1", 0), ("p2", 0), ("p3", 4)]
+
+
+def test_a_batch_is_folded_in_once(spark, tmp_path):
+    index = InvertedIndex(spark, f"file://{tmp_path}/i", WhitespaceTokenizer())
+    for _ in range(2):
+        index.fold(contents(spark, p="two two"), stream="s", batch=0)
+    assert len(index.manifest().generations) == 1
+
+
+SIX = {"p1": "six sixteen sixty", "p2": "-----six----", "p3": "And sssssix", "p4": "Other text"}
+WANT = [("p1", 0), ("p1", 4), ("p1", 12), ("p2", 5), ("p3", 8)]
+
+
+def test_substring_and_scan(spark, tmp_path):
+    index = InvertedIndex(spark, f"file://{tmp_path}/i", TrigramTokenizer())
+    index.add_batch(contents(spark, **SIX, bad=b"six \xff six", wide="a\U0001f600six", runs="aaaa abcd abc bcd"))
+    extra = [("wide", 3)]
+    assert hits(index, TrigramResolver(), "six") == sorted(WANT + extra)
+    assert hits(index, TrigramResolver(), "si") == sorted(WANT + extra + [("bad", 0), ("bad", 6)])
+    assert hits(index, FullScanResolver(), "six") == sorted(WANT + extra + [("bad", 0), ("bad", 6)])
+    assert hits(index, TrigramResolver(), "aaa") == [("runs", 0), ("runs", 1)]
+    assert hits(index, TrigramResolver(), "aa") == [("runs", 0), ("runs", 2)]
+    assert hits(index, TrigramResolver(), "abcd") == [("runs", 5)]
+    assert hits(index, TrigramResolver(), "c bcd") == [("runs", 12)]
+    assert hits(index, TrigramResolver(), "nowhere") == []
+    assert hits(index, TrigramResolver(), "\U0001f600six") == [("wide", 1)]
+    with pytest.raises(ValueError):
+        hits(index, TrigramResolver(), "")
+
+
+def test_by_document(spark):
+    texts = spark.createDataFrame([(1, "aXbXX"), (2, "X"), (3, None)], "doc_id bigint, text string")
+    assert {r.doc_id: r.positions for r in by_document(scan_hits(texts, "X")).collect()} == {1: [1, 3, 4], 2: [0]}
+
+
+def write(root, **files):
+    for name, text in files.items():
+        path = os.path.join(root, name.replace("__", "/"))
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path + ".txt", "w") as f:
+            f.write(text)
+
+
+def found(index, term, root):
+    return [(os.path.relpath(r.path, root)[:-4], r.position) for r in sorted(index.query(term).collect(), key=lambda r: (r.path, r.position))]
+
+
+def test_end_to_end(spark, tmp_path):
+    root = tmp_path / "in"
+    write(root, p1="one two three\nfour five six\nsix seven eight", a__b__c="three four five", x__y__z="foo")
+    os.symlink(root / "x/y/z.txt", root / "link.txt")
+    os.symlink(root, root / "a" / "loop")
+    index = TextIndex(spark, [str(root), str(tmp_path / "missing")], str(tmp_path / "out"))
+    index.index()
+    assert found(index, "six", root) == [("p1", 24), ("p1", 28)]
+    assert found(index, "three", root) == [("a/b/c", 0), ("p1", 8)]
+    assert found(index, "foo", root) == [("link", 0), ("x/y/z", 0)]
+    assert [(r.term, r.position) for r in index.query("six").collect()] == [("six", 24), ("six", 28)]
+
+
+def test_missing_root(spark, tmp_path):
+    index = TextIndex(spark, [str(tmp_path / "missing")], str(tmp_path / "out"))
+    index.index()
+    assert index.query("one").collect() == []
+
+
+def test_other_tokenizer(spark, tmp_path):
+    write(tmp_path / "in", p="one;two |three")
+    index = TextIndex(spark, [str(tmp_path / "in")], str(tmp_path / "out"), RegexTokenizer("[a-z]+"))
+    index.index()
+    assert found(index, "three", tmp_path / "in") == [("p", 9)]
+
+
+def test_listing(spark, tmp_path):
+    for name in (".hid/x.txt", ".h.txt", "_u.txt", "_und/y.txt", "a.log", "b.bin", "c.kt", "d.png", "sub/.in/z.txt", "sub/e.json", "f"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("x")
+    got = sorted(os.path.relpath(r.path, tmp_path) for r in read_folders(spark, [str(tmp_path)], contents=False).collect())
+    assert got == [".h.txt", "_u.txt", "_und/y.txt", "a.log", "c.kt", "sub/e.json"]
+    assert len(list(walk(str(tmp_path), FileFilter()))) == 11
+    assert not DefaultFilter().takes_file("/a/b.txt", 50_000_001) and DefaultFilter().takes_file("/a/b.txt", 50_000_000)
+
+
+def test_watching(spark, tmp_path):
+    root = tmp_path / "in"
+    write(root, p1="one two three", p2="three four five")
+    index, events = TextIndex(spark, [str(root)], str(tmp_path / "out")), []
+    with pytest.raises(RuntimeError):
+        index.stop_watching()
+    thread = threading.Thread(target=index.index_and_watch, args=(events.append, None, "300 milliseconds"))
+    thread.start()
+
+    def wait(term, want):
+        end = time.time() + 60
+        while time.time() < end:
+            if "WATCHER_CREATED" in events and found(index, term, root) == want:
+                return
+            time.sleep(0.3)
+        assert found(index, term, root) == want
+
+    try:
+        wait("three", [("p1", 8), ("p2", 0)])
+        write(root, p3="xxx yyy zzz three")
+        wait("three", [("p1", 8), ("p2", 0), ("p3", 12)])
+        write(root, p2="xxx yyyy three five")
+        wait("five", [("p2", 15)])
+        os.remove(root / "p2.txt")
+        wait("three", [("p1", 8), ("p3", 12)])
+    finally:
+        index.stop_watching()
+        thread.join(30)
+    assert events[0] == "WATCHER_CREATED" and "INDEX_UPDATED" in events
