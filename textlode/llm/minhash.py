@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from .shared import by_bytes, drop, drop_rows, plain, row_key, written
 from .words import U, mix, shingles, words
 
-COORDINATES, ROWS, SHINGLE, THRESHOLD = 128, 4, 3, 0.55
+COORDINATES, ROWS, SHINGLE = 128, 4, 3
+#: Share of coordinates that must agree: two standard errors of the estimate (0.044) below the similarity of 0.55 that is
+#: looked for, so that nearly every pair of that similarity is found.
+THRESHOLD = 0.46
 #: A bucket with more distinct signatures that stay apart than this is searched by further bands within it.
 WIDE = 256
 

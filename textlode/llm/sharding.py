@@ -42,8 +42,10 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     while True:
         fine = rows.groupBy(_prefix(F.col("h"), depth).alias("fine")).agg(F.sum("bytes").alias("bytes"))
         levels = fine.withColumn("depth", F.explode(F.sequence(F.lit(floor), F.lit(depth))))
-        sums = levels.groupBy("depth", F.expr(f"shiftright(fine, {depth} - depth)").alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.collect_list("fine").alias("fines"))
-        fits = sums.where(F.col("bytes") <= limit).select(F.explode("fines").alias("fine"), "depth").groupBy("fine").agg(F.min("depth").alias("depth"))
+        sums = levels.groupBy("depth", F.expr(f"shiftright(fine, {depth} - depth)").alias("prefix")).agg(F.sum("bytes").alias("bytes"))
+        # a bucket that fits has few prefixes below it, unlike the root
+        below = F.expr(f"sequence(shiftleft(prefix, {depth} - depth), shiftleft(prefix + 1, {depth} - depth) - 1)")
+        fits = sums.where(F.col("bytes") <= limit).select(F.explode(below).alias("fine"), "depth").groupBy("fine").agg(F.min("depth").alias("depth"))
         placed, _ = written(rows.withColumn("fine", _prefix(F.col("h"), depth)).join(fits, "fine", "left").drop("fine"), "placed")
         done.append(placed.where("depth is not null").withColumn("part", F.lit(0)))
         rest = placed.where("depth is null").drop("depth")
