@@ -167,7 +167,7 @@ def _rows(batch: pa.RecordBatch, g: Grams, logp: np.ndarray) -> pa.RecordBatch:
 
 
 def _result(ids: pa.Array, count: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
-    none = pa.array(count == 0)
+    none, total = pa.array(count == 0), total.astype(np.float64)  # without any word bincount gives integers
     per = np.exp(-total / np.maximum(count, 1))
     return pa.RecordBatch.from_arrays([ids, pa.array(count), pa.array(total), pa.compute.if_else(none, pa.scalar(None, pa.float64()), pa.array(per))], ["doc_id", "n_words", "log_prob", "perplexity"])
 

@@ -21,6 +21,8 @@ from .words import ALNUM, INKED, SAME, U, mix, raw, words
 ROWS, GROW = 12_000, 2 / 3
 #: A rule must be right on this share of the pruning rows it covers, and cover so many bad ones; cuts for a statistic.
 PRECISION, COVER, CUTS, MOST_CONDITIONS, MOST_RULES = 0.97, 3, 48, 4, 24
+#: Fresh splits on which a rule may fail in a row before covering ends.
+TRIES = 4
 #: Words within which distinct ones are counted.
 STRETCH = 100
 
@@ -152,25 +154,29 @@ def _prune(rule: Rule, rows: pd.DataFrame, bad: np.ndarray) -> Rule:
 
 
 def learn(rows: pd.DataFrame, seed: int = 7) -> list[Rule]:
-    """An ordered list of rules that reject: each is a conjunction of thresholds grown on two thirds of the rows that
-    no earlier rule covers and pruned on the others; covering ends when a rule isn't precise enough or covers too
-    little. ``rows`` holds STATISTICS and quality (0 bad, 1 good)."""
+    """An ordered list of rules that reject: each is a conjunction of thresholds grown on two thirds, drawn anew, of the
+    rows that no earlier rule covers and pruned on the others; covering ends when TRIES draws in a row gave no rule that
+    is precise enough and covers enough. ``rows`` holds STATISTICS and quality (0 bad, 1 good); their order and seed
+    decide the draws, and rows are sorted first."""
     rules: list[Rule] = []
-    order = np.random.default_rng(seed).permutation(len(rows))
-    rows = rows.sort_values([*STATISTICS, "quality"], kind="stable").iloc[order].reset_index(drop=True)
-    while len(rules) < MOST_RULES and len(rows):
+    random = np.random.default_rng(seed)
+    rows = rows.sort_values([*STATISTICS, "quality"], kind="stable").reset_index(drop=True)
+    failed = 0
+    while len(rules) < MOST_RULES and failed < TRIES and len(rows):
+        rows = rows.iloc[random.permutation(len(rows))].reset_index(drop=True)
         bad = (rows["quality"] == 0).to_numpy()
         cut = int(len(rows) * GROW)
         rule = _grow(rows[:cut], bad[:cut])
-        if not rule or not bad[cut:].any():
-            break
-        rule = _prune(rule, rows[cut:], bad[cut:])
-        hit = _covers(rule, rows[cut:])
-        if (hit & bad[cut:]).sum() < COVER or (hit & bad[cut:]).sum() < PRECISION * hit.sum():
-            break
-        rules.append(rule)
-        left = ~_covers(rule, rows)
-        rows = rows[left].reset_index(drop=True)
+        if rule and bad[cut:].any():
+            rule = _prune(rule, rows[cut:], bad[cut:])
+            hit = _covers(rule, rows[cut:])
+            right = int((hit & bad[cut:]).sum())
+            if right >= COVER and right >= PRECISION * hit.sum():
+                rules.append(rule)
+                rows = rows[~_covers(rule, rows)].reset_index(drop=True)
+                failed = 0
+                continue
+        failed += 1
     return rules
 
 
