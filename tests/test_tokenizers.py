@@ -64,6 +64,8 @@ def test_postings_group_tokens(spark, tokenizer):
     got = {(r.tok, r.doc_id): r.positions for r in tokenizer.postings(docs).collect()}
     want = {(r.tok, r.doc_id): r.positions for r in group_postings(tokenizer.tokenize(docs)).collect()}
     assert got == want and got
+    some = {(r.tok, r.doc_id): r.positions for r in tokenizer.postings(docs, ["a", "a b"]).collect()}
+    assert some == {k: v for k, v in got.items() if k[0] in ("a", "a b")}
 
 
 def test_empty_table(spark):

@@ -34,9 +34,11 @@ class Tokenizer(ABC):
     def tokenize(self, docs: DataFrame) -> DataFrame:
         """(doc_id, tok, position) of ``docs``(doc_id, text)."""
 
-    def postings(self, docs: DataFrame) -> DataFrame:
-        """(tok, doc_id, positions): each document's positions of each of its tokens, ascending."""
-        return group_postings(self.tokenize(docs))
+    def postings(self, docs: DataFrame, only: list[str] | None = None) -> DataFrame:
+        """(tok, doc_id, positions): each document's positions of each of its tokens, ascending; of the tokens ``only``
+        if given, so that a single lookup doesn't carry the others along."""
+        tokens = self.tokenize(docs)
+        return group_postings(tokens if only is None else tokens.where(F.col("tok").isin(only)))
 
     def tokens_of(self, text: str) -> list[tuple[str, int]] | None:
         """Tokens of a short string on the driver, or None if this tokenizer has no such way."""
@@ -66,9 +68,14 @@ def _tokens(spans: Callable[[pa.Array], Spans], batches: Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([ids, found.token.cast(pa.string()), pa.array(found.position, pa.int32())], ["doc_id", "tok", "position"])
 
 
-def _postings(spans: Callable[[pa.Array], Spans], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _postings(spans: Callable[[pa.Array], Spans], only: list[str] | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    wanted = None if only is None else pa.array(only, pa.large_string())
     for batch in _slices(batches):
-        doc, token, lists = grouped(spans(batch.column("text")))
+        found = spans(batch.column("text"))
+        if wanted is not None:
+            at = np.flatnonzero(pc.is_in(found.token, wanted).to_numpy(zero_copy_only=False))
+            found = Spans(found.doc[at], found.token.take(pa.array(at)), found.position[at])
+        doc, token, lists = grouped(found)
         yield pa.RecordBatch.from_arrays([token.cast(pa.string()), batch.column("doc_id").take(pa.array(doc)), lists], ["tok", "doc_id", "positions"])
 
 
@@ -80,8 +87,8 @@ class _Spanned(Tokenizer):
     def tokenize(self, docs: DataFrame) -> DataFrame:
         return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(partial(_tokens, type(self).spans), TOKENS)
 
-    def postings(self, docs: DataFrame) -> DataFrame:
-        return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(partial(_postings, type(self).spans), POSTINGS)
+    def postings(self, docs: DataFrame, only: list[str] | None = None) -> DataFrame:
+        return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(partial(_postings, type(self).spans, only), POSTINGS)
 
     def tokens_of(self, text: str) -> list[tuple[str, int]]:
         found = type(self).spans(pa.array([text]))

@@ -50,11 +50,12 @@ def postings_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_hits(WhitespaceTokenizer().postings(_documents(spark, sf_dir)), WORD)
+    return token_hits(WhitespaceTokenizer().postings(_documents(spark, sf_dir), [WORD]), WORD)
 
 
 def substring_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrase_hits(TrigramTokenizer().postings(_documents(spark, sf_dir)), PHRASE)
+    tokenizer = TrigramTokenizer()
+    return phrase_hits(tokenizer.postings(_documents(spark, sf_dir), [tok for tok, _ in tokenizer.tokens_of(PHRASE)]), PHRASE)
 
 
 def fullscan_short(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +70,7 @@ def results_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def live_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     alive = docs.where("lang <> 'de'").select("doc_id", F.col("doc_id").cast("string").alias("path"))
-    return live(token_hits(WhitespaceTokenizer().postings(docs), "in"), alive, "in").select("term", "path", "position")
+    return live(token_hits(WhitespaceTokenizer().postings(docs, ["in"]), "in"), alive, "in").select("term", "path", "position")
 
 
 def ext_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
