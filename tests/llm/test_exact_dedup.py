@@ -1,9 +1,11 @@
+from urllib.parse import unquote
+
 import duckdb
 import pytest
 
 from textlode.llm import exact_dedup as ed
 from textlode.llm.queries import ORACLES, QUERIES
-from textlode.llm.shared import scratch_path
+from textlode.llm.shared import folder_of, scratch_path
 
 from .cases import SCHEMA, awkward, awkward_rows, empty, table
 
@@ -65,6 +67,21 @@ def test_state_outlives_the_stream(spark, tmp_path):
     assert table(ed.survivors(spark, source, out, schema), "doc_id") == [(2,), (5,), (6,)]
 
 
+def test_a_scan_is_streamed_where_it_lies(spark, tmp_path):
+    rows = [(i, f"text {i % 5}", "en", "s", None) for i in range(40)]
+    plain = f"{tmp_path}/a b"
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(plain)
+    docs = spark.read.parquet(plain)
+    assert folder_of(docs) is not None and folder_of(docs.where("doc_id > 3")) is None and folder_of(docs.select("doc_id", "text")) is None
+    assert table(ed.exact_dedup(docs), "doc_id", "text") == brute(rows)
+    # one file of several, and columns that are folders: both are written first
+    assert folder_of(spark.read.parquet(unquote(docs.inputFiles()[0]))) is None
+    spark.createDataFrame(rows, SCHEMA).write.partitionBy("lang").parquet(f"{tmp_path}/parted")
+    parted = spark.read.parquet(f"{tmp_path}/parted")
+    assert folder_of(parted) is None
+    assert table(ed.exact_dedup(parted), "doc_id", "text", "lang") == [(*r, "en") for r in brute(rows)]
+
+
 def test_query_equals_sql(spark):
     got = QUERIES["op1_exact_dedup"](spark, "/root/testdata/sf0.01")
     con = duckdb.connect()

@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from textlode.llm import minhash as mh
+from textlode.llm.shared import located
 
 from .cases import SCHEMA, awkward, awkward_rows, empty, prose, table
 
@@ -73,7 +74,7 @@ def test_recall_and_precision_against_brute_force(spark):
     rows = planted(4)
     own = bags([r[1] for r in rows])
     close = [(a, b, jaccard(own[a], own[b])) for a in range(len(rows)) for b in range(a)]
-    signed, groups = mh.near_groups(spark.createDataFrame(rows, SCHEMA))
+    signed, groups = mh.near_groups(located(spark.createDataFrame(rows, SCHEMA), "test"))
     root = {r.node: r.root for r in groups.collect()}
     of = {r.doc_id: root.get(r.node, r.node) for r in signed.collect()}
     want = [(a, b) for a, b, s in close if s >= 0.55]

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 import pandas as pd
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import free_name, plain, scratch_path, small_or_hashed, written
+from .shared import folder_of, plain, scratch_path, without, written
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -49,11 +50,20 @@ def _look(width: int):
     return run
 
 
+def _opened(file: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """File system and path of a file as Spark names it, whether special characters are escaped or not."""
+    if "://" in file and not file.startswith("file:"):
+        scheme, rest = file.split("://", 1)
+        return pyarrow.fs.FileSystem.from_uri(f"{scheme}://{quote(unquote(rest), safe='/:@')}")
+    path = "/" + file.removeprefix("file:").lstrip("/")
+    return pyarrow.fs.LocalFileSystem(), path if os.path.exists(path) else unquote(path)
+
+
 def _fetch(places: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts by content locator: (digest, file, row, ...) sorted by file and row, with the text read from the file."""
 
     def read(file: str, part: pa.Table) -> Iterator[pa.RecordBatch]:
-        fs, path = pyarrow.fs.FileSystem.from_uri(file) if "%" not in file else pyarrow.fs.FileSystem.from_uri(file.split("://")[0] + "://" + unquote(file.split("://", 1)[1])) if "://" in file else (pyarrow.fs.LocalFileSystem(), unquote(file))
+        fs, path = _opened(file)
         wanted = part.column("row").to_numpy()
         source = pq.ParquetFile(fs.open_input_file(path))
         first = 0
@@ -167,26 +177,21 @@ def survivors(spark: SparkSession, source: str, out: str, schema: StructType) ->
     path = f"{out}/dropped"
     if not _exists(spark, path):
         return docs
-    dropped = spark.read.parquet(path).select("file", "row")
-    file, row = free_name(docs, "_file"), free_name(docs, "_row")
-    placed = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
-    side = small_or_hashed(dropped, path, 160).toDF(file, row)
-    return placed.join(side, [file, row], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return without(docs, spark.read.parquet(path).select(F.xxhash64("file").alias("file"), "row"), "exact-dropped")
 
 
 def exact_dedup(docs: DataFrame | None = None, *, source: str | None = None, spark: SparkSession | None = None, **how) -> DataFrame:
     """One row of each distinct text, with all its columns: the one with the least doc_id (nulls come last).
 
-    Give a DataFrame, which is first written to the shared folder so that its rows have locators, or the ``source``
-    path of a Parquet table, which is streamed where it lies. Texts are equal if their bytes are; rows with an empty
+    Give a DataFrame or the ``source`` path of a Parquet table, which is streamed where it lies. A DataFrame that isn't
+    just a scan of a folder's Parquet files is first written to the shared folder so that its rows have locators. Texts are equal if their bytes are; rows with an empty
     text are copies of each other; a row with a null text has no content and always stays. Of rows equal in doc_id
     too, the one that lies first stays. Further columns, whatever their names, pass through; an empty table gives an
     empty table. With ``max_files`` the corpus comes in several micro-batches, and copies in an earlier one win.
     """
     if source is None:
         spark = docs.sparkSession
-        _, source = written(docs, "inbox")
-        schema = docs.schema
+        source, schema = folder_of(docs) or written(docs, "inbox")[1], docs.schema
     else:
         schema = spark.read.parquet(source).schema
     out = scratch_path(spark, "exact-dedup")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import by_bytes, drop, drop_rows, plain, row_key, written
+from .shared import by_bytes, drop, located, place, plain, without, written
 from .words import U, mix, shingles, words
 
 COORDINATES, ROWS, SHINGLE = 128, 4, 3
@@ -125,8 +125,8 @@ def _signed(k: int, size: int):
             whole = mix(band_hashes(sigs, k)[:, 0].view(U)).view(np.int64)
             rows = pa.array(np.arange(n)[any_])
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(rows) for c in ("k1", "k2", "doc_id")), pa.array(whole[any_]), pa.array([x.tobytes() for x in sigs[any_]], pa.binary())],
-                ["k1", "k2", "doc_id", "node", "sig"],
+                [*(batch.column(c).take(rows) for c in ("file", "row", "doc_id")), pa.array(whole[any_]), pa.array([x.tobytes() for x in sigs[any_]], pa.binary())],
+                ["file", "row", "doc_id", "node", "sig"],
             )
 
     return run
@@ -263,13 +263,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def near_groups(docs: DataFrame, k: int = COORDINATES, rows: int = ROWS, size: int = SHINGLE, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(signed, groups): the rows of ``docs`` that have words as (k1, k2, doc_id, node), and (node, root) of each
-    signature that a chain of similar ones connects with another.
+    """(signed, groups): the rows of ``docs``, a ``located`` table, that have words as (file, row, doc_id, node), and
+    (node, root) of each signature that a chain of similar ones connects with another.
 
     Similar: as many as ``threshold`` of the ``k`` coordinates agree. Pairs come from bands of ``rows`` coordinates.
     """
-    keyed = docs.select(row_key(docs, 11).alias("k1"), row_key(docs, 23).alias("k2"), plain(docs, "doc_id", "bigint").alias("doc_id"), plain(docs, "text", "string").alias("text"))
-    signed, _ = written(keyed.mapInArrow(_signed(k, size), "k1 bigint, k2 bigint, doc_id bigint, node bigint, sig binary"), "signed")
+    file, row = place(docs)
+    placed = docs.select(file.alias("file"), row.alias("row"), plain(docs, "doc_id", "bigint").alias("doc_id"), plain(docs, "text", "string").alias("text"))
+    signed, _ = written(placed.mapInArrow(_signed(k, size), "file bigint, row bigint, doc_id bigint, node bigint, sig binary"), "signed")
     bands = signed.select("node", "sig").mapInArrow(_banded(k, rows), "band bigint, node bigint")
     # one exchange: rows of a band lie together, and only buckets of two or more signatures go on
     shared = bands.withColumns({"low": F.min("node").over(w := Window.partitionBy("band")), "high": F.max("node").over(w)})
@@ -279,7 +280,7 @@ def near_groups(docs: DataFrame, k: int = COORDINATES, rows: int = ROWS, size: i
     edges, path = written(members.mapInArrow(_compared(k, rows, threshold), "a bigint, b bigint").distinct(), "near-edges")
     groups = components(edges)
     drop(docs.sparkSession, path)
-    return signed.select("k1", "k2", "doc_id", "node"), groups
+    return signed.select("file", "row", "doc_id", "node"), groups
 
 
 def near_dedup(docs: DataFrame, **how) -> DataFrame:
@@ -287,14 +288,15 @@ def near_dedup(docs: DataFrame, **how) -> DataFrame:
 
     Near-duplicates: weighted word-shingle sets (case of ASCII letters and punctuation left out) whose signatures
     agree in ``threshold`` of their coordinates; groups are the connected components. The row with the least doc_id
-    stays (a null doc_id comes last, ties fall to the row's hash; of rows equal in doc_id and text one stays). Rows
-    whose text is null, empty or has no word all stay: nothing can be said about them. Any further columns, whatever
-    their names, pass through. An empty table gives an empty table.
+    stays (a null doc_id comes last; of rows equal in doc_id the one that lies first stays). Rows whose text is null,
+    empty or has no word all stay: nothing can be said about them. Any further columns, whatever their names, pass
+    through. An empty table gives an empty table. What isn't just a scan of Parquet files is written as such first.
     """
+    docs = located(docs, "near-inbox")
     signed, groups = near_groups(docs, **how)
-    own = signed.join(groups, "node", "left").select("k1", "k2", "doc_id", F.coalesce("root", "node").alias("root"))
-    order = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "k1", "k2")
-    ranked = own.withColumn("place", F.row_number().over(order)).withColumn("best", F.first(F.struct("k1", "k2")).over(order))
-    same = (F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2"))
-    rest, path = written(ranked.where("place > 1").select("k1", "k2", same.alias("same")), "near-rest")
-    return drop_rows(docs, rest.where("not same").select("k1", "k2"), path, rest.where("same").select("k1", "k2").distinct())
+    # rows of a signature that is alone have nothing to fear, so only those with company are ordered
+    alone = signed.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node", F.col("node").alias("own"))
+    roots = groups.select("node", "root").join(alone, "node", "full").select("node", F.coalesce("root", "own").alias("root"))
+    order = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "file", "row")
+    ranked = signed.join(roots, "node").withColumn("place", F.row_number().over(order))
+    return without(docs, ranked.where("place > 1").select("file", "row"), "near-dropped")

@@ -1,4 +1,4 @@
-"""Scratch tables in the folder that all executors share, row keys and size-checked anti joins."""
+"""Scratch tables in the folder that all executors share, and rows known by their place in a table's files."""
 
 from __future__ import annotations
 
@@ -6,8 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute
+import pyarrow.dataset
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,44 +76,86 @@ def plain(df: DataFrame, name: str, kind: str) -> Column:
     return df[f"`{name}`"].cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
-def row_key(df: DataFrame, salt: int) -> Column:
-    """64 bits of hash of (doc_id, text), nulls told apart from values; two salts make a 128-bit key."""
-    doc_id, text = plain(df, "doc_id", "string"), plain(df, "text", "string")
-    return F.xxhash64(F.lit(salt), doc_id.isNull(), doc_id, F.lit(salt + 1), text.isNull(), text)
+def _fileformat(docs: DataFrame) -> str | None:
+    """The file format that ``docs`` is a bare scan of."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return None
+    return plan.relation().fileFormat().toString()
 
 
-def broadcast_limit(spark: SparkSession) -> int:
-    raw = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(raw)) if not raw.lstrip("-").isdigit() else int(raw)
+def located(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` as a scan of Parquet files, whose rows have places; what is one already isn't written again."""
+    return docs if _fileformat(docs) == "Parquet" else written(docs, name)[0]
 
 
-def small_or_hashed(df: DataFrame, path: str, width: int) -> DataFrame:
-    """``df`` (stored at ``path``) marked for broadcast if its rows, at ``width`` bytes each, fit Spark's limit.
+def folder_of(docs: DataFrame) -> str | None:
+    """The folder all of whose Parquet files ``docs`` scans, all its columns being in them."""
+    if _fileformat(docs) != "Parquet" or not docs._jdf.queryExecution().analyzed().relation().partitionSchema().isEmpty() or not (files := docs.inputFiles()):
+        return None
+    folder = files[0].rsplit("/", 1)[0]
+    fs, p = _fs(docs.sparkSession, docs.sparkSession._jvm.java.net.URI(folder).getPath() if folder.startswith("file:") else folder)
+    if {f.rsplit("/", 1)[0] for f in files} != {folder} or not fs.exists(p):
+        return None
+    names = {n for s in fs.listStatus(p) if not (n := s.getPath().getName()).startswith(("_", "."))}
+    plain_names = {docs.sparkSession._jvm.java.net.URI(f).getPath().rsplit("/", 1)[1] for f in files}
+    return p.toString() if names == plain_names else None
+
+
+def place(docs: DataFrame) -> tuple[Column, Column]:
+    """(file, row): 64 bits of hash of a row's file and its number in there; ``docs`` must be ``located``."""
+    hidden = docs.metadataColumn("_metadata")
+    return F.xxhash64(hidden["file_path"]), hidden["row_index"]
+
+
+#: Files whose lists of dropped rows share a folder.
+FILES_TOGETHER = 64
 
-    Beyond that it is the build side of a shuffled hash join, which doesn't sort the other side's texts.
-    """
-    spark = df.sparkSession
-    limit = broadcast_limit(spark)
-    if stored_bytes(spark, path) <= limit and df.count() * width <= limit:
-        return F.broadcast(df)
-    return df.hint("shuffle_hash")
 
+def _kept(path: str, folders: int, parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Whether each (file, row) isn't in the list of its file below ``path``; a task's rows come file by file."""
+    fs, inner = pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
+    known: dict[int, np.ndarray] = {}
 
-def drop_rows(docs: DataFrame, doomed: DataFrame, path: str, repeated: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose key is in ``doomed``(k1, k2), one row for each key of ``repeated``(k1, k2).
+    def rows_of(file: int) -> np.ndarray:
+        if file not in known:
+            folder = f"{inner}/folder={file % folders}"
+            known.clear()
+            known[file] = np.zeros(0, np.int64)
+            if fs.get_file_info(folder).type == pyarrow.fs.FileType.Directory:
+                found = pyarrow.dataset.dataset(folder, filesystem=fs, format="parquet").to_table(filter=pyarrow.dataset.field("file") == file)
+                if found.num_rows:
+                    known[file] = found.column("rows").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return known[file]
 
-    ``repeated`` has keys of kept rows that occur more than once; it is nearly always empty, and is only then joined.
+    for files, rows in parts:
+        files, rows = files.to_numpy(), rows.to_numpy()
+        out = np.ones(len(files), bool)
+        cuts = [0, *(np.flatnonzero(files[1:] != files[:-1]) + 1).tolist(), len(files)]
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            if i < j and len(gone := rows_of(int(files[i]))):
+                at = np.searchsorted(gone, rows[i:j])
+                out[i:j] = gone[np.minimum(at, len(gone) - 1)] != rows[i:j]
+        yield pd.Series(out)
+
+
+def without(docs: DataFrame, doomed: DataFrame, name: str) -> DataFrame:
+    """``docs``, a ``located`` table, without the rows at the places ``doomed``(file bigint, row bigint).
+
+    Each file's dropped rows are written as one list, as in a table format's deletion vectors; whoever scans the file
+    reads its list. Texts aren't exchanged, and only places go to Python.
     """
-    columns = docs.columns
-    a, b = free_name(docs, "_k1"), free_name(docs, "_k2")
-    keyed = docs.withColumns({a: row_key(docs, 11), b: row_key(docs, 23)})
-    side = small_or_hashed(doomed, path, 40).toDF(a, b)
-    left = keyed.join(side, [a, b], "left_anti")
-    if not repeated.isEmpty():
-        twice = repeated.toDF(a, b)
-        whole = keyed.join(twice, [a, b], "left_semi").dropDuplicates([a, b])
-        left = left.join(twice, [a, b], "left_anti").select(*keyed.columns).unionByName(whole)
-    return left.select(*[F.col(f"`{c}`") for c in columns])
+    spark = docs.sparkSession
+    folders = max(1, len(docs.inputFiles()) // FILES_TOGETHER)
+    path = scratch_path(spark, name)
+    lists = doomed.groupBy("file").agg(F.sort_array(F.collect_set("row")).alias("rows"))
+    lists.withColumn("folder", F.pmod("file", F.lit(folders))).write.partitionBy("folder").parquet(path)
+
+    @F.pandas_udf("boolean")
+    def kept(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        return _kept(path, folders, parts)
+
+    return docs.where(kept(*place(docs))).select(*[docs[f"`{c}`"] for c in docs.columns])
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
