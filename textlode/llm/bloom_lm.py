@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import by_bytes, plain, stored_bytes, written
-from .words import INKED, SAME, U, mix, words
+from .words import INKED, SAME, U, mix, raw, words
 
 #: Counts are kept as levels, 1 + floor(log_BASE(count)); bits of filter for each (n-gram, level), hashes of each.
 BASE, BITS, HASHES = 1.5, 8, 5
 #: Weight of the unigram estimate, in occurrences of the word before; share of it that unknown words get.
 ALPHA, UNSEEN = 40.0, 0.05
-#: Text of one shard of the filter; grams that a task gathers before it hands them on.
-SHARD_BYTES, GATHERED = 16 << 20, 2_000_000
+#: Text of one shard of the filter; grams that a task gathers before it hands them on; text that it looks at together.
+SHARD_BYTES, GATHERED, AT_ONCE = 8 << 20, 1_000_000, 1 << 20
 #: Bytes of filter that may be broadcast; a larger one is probed where its shards lie.
 BROADCAST = 192 << 20
 
@@ -36,10 +36,18 @@ class Grams(NamedTuple):
 
 
 class Filter(NamedTuple):
-    size: int  # bits
+    """Filters of several shards in one row of bytes: bits of each, and the bit at which each begins."""
+
+    size: np.ndarray
+    base: np.ndarray
     data: np.ndarray
 
 
+def side_by_side(sizes: list[int], data: list[bytes]) -> Filter:
+    ends = np.cumsum([0, *map(len, data)], dtype=U) * U(8)
+    return Filter(np.array(sizes, U), ends[:-1], np.frombuffer(b"".join(data), np.uint8))
+
+
 def grams(texts: pa.Array) -> Grams:
     """Keys of the words (runs between white space, case kept) and of the pairs that end in them."""
     w = words(texts, INKED, SAME)
@@ -75,7 +83,7 @@ def _count(shards: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         parts = [(keys[cuts[s] : cuts[s + 1]].tobytes(), counts[cuts[s] : cuts[s + 1]].astype(np.uint32).tobytes()) for s in some]
         return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(x, pa.binary()) for x in zip(*parts))], ["shard", "keys", "counts"])
 
-    for batch in by_bytes(batches, "text"):
+    for batch in by_bytes(batches, "text", AT_ONCE):
         g = grams(batch.column("text"))
         if not len(g.one):
             continue
@@ -99,51 +107,70 @@ def expected(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, np.maximum((low + np.maximum(high, low)) / 2, 1.0), 0.0)
 
 
-def _places(keys: np.ndarray, step: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    h = mix(keys + np.asarray(step).astype(U) * U(0x9E3779B97F4A7C15))
+def _hashes(keys: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(keys + U(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
     return h >> U(32), (h & U(0xFFFFFFFF)) | U(1)
 
 
-def build(keys: np.ndarray, counts: np.ndarray) -> Filter:
-    """Holds (key, 1), ..., (key, level of its count) for each key."""
-    levels = level(counts)
-    total = int(levels.sum())
-    size = max(64, total * BITS)
+def _place(a: np.ndarray, b: np.ndarray, i: int, size: np.ndarray) -> np.ndarray:
+    """The i-th of the bits of a key in a filter of ``size`` < 2 ** 32 bits."""
+    return ((a + U(i) * b & U(0xFFFFFFFF)) * size) >> U(32)
+
+
+def build(parts: list[tuple[np.ndarray, np.ndarray]]) -> Filter:
+    """Holds (key, 1), ..., (key, level of its count) for each key of the parts (keys, counts)."""
+    levels = [level(counts) for _, counts in parts]
+    size = max(64, sum(int(x.sum()) for x in levels) * BITS)
     bits = np.zeros(-(-size // 8) * 8, bool)
-    live, step = np.arange(len(keys)), 1
-    while len(live):
-        a, b = _places(keys[live], step)
-        for i in range(HASHES):
-            bits[((a + U(i) * b) % U(size)).astype(np.int64)] = True
-        step += 1
-        live = live[levels[live] >= step]
-    return Filter(size, np.packbits(bits, bitorder="little"))
+    for (keys, _), own in zip(parts, levels):
+        live, step = np.arange(len(keys)), 1
+        while len(live):
+            a, b = _hashes(keys[live], step)
+            for i in range(HASHES):
+                bits[_place(a, b, i, U(size)).astype(np.int64)] = True
+            step += 1
+            live = live[own[live] >= step]
+    return side_by_side([size], [np.packbits(bits, bitorder="little").tobytes()])
 
 
-def probe(f: Filter, keys: np.ndarray) -> np.ndarray:
-    """The level of each key: how many times in a row, from 1, the filter says it holds (key, level)."""
+def probe(f: Filter, keys: np.ndarray, shard: np.ndarray | None = None) -> np.ndarray:
+    """The level of each key: how many times in a row, from 1, its shard's filter says it holds (key, level).
+
+    All shards are probed at once, so that the work doesn't grow with their number.
+    """
     out = np.zeros(len(keys), np.int64)
-    live, step = np.arange(len(keys)), 1
+    if shard is None:
+        shard = np.zeros(len(keys), np.int64)
+    live, size, base, step = np.arange(len(keys)), f.size[shard], f.base[shard], 1
     while len(live):
-        a, b = _places(keys[live], step)
+        a, b = _hashes(keys[live], step)
         for i in range(HASHES):
-            at = (a + U(i) * b) % U(f.size)
+            at = base + _place(a, b, i, size)
             yes = (f.data[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 > 0
-            live, a, b = live[yes], a[yes], b[yes]
+            live, a, b, size, base = live[yes], a[yes], b[yes], size[yes], base[yes]
         out[live] = step
         step += 1
     return out
 
 
+def _numbers(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """Numbers of a column of their bytes, without a copy where it is one chunk."""
+    data = [raw(chunk)[0].view(kind) for chunk in column.chunks]
+    return data[0] if len(data) == 1 else np.concatenate([*data, np.zeros(0, kind)])
+
+
 def _build(key: tuple, table: pa.Table) -> pa.Table:
-    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), U)
-    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32).astype(np.int64)
-    keys, counts = merged(keys, counts)
-    f = build(keys, counts)
-    single = (keys & U(1) == 0) & (keys != _START[0])
+    keys, counts = _numbers(table.column("keys"), U), _numbers(table.column("counts"), np.uint32)
+    slot, parts = (keys >> U(1)) & U(7), []
+    for i in range(8):  # an eighth of the keys at a time
+        own = np.flatnonzero(slot == i)
+        parts.append(merged(keys[own], counts[own].astype(np.int64)))
+    del keys, counts, slot
+    f = build(parts)
+    single = [c[(k & U(1) == 0) & (k != _START[0])] for k, c in parts]
     return pa.table({
-        "shard": pa.array([key[0].as_py()], pa.int32()), "size": pa.array([f.size]), "data": pa.array([f.data.tobytes()], pa.binary()),
-        "words": pa.array([int(counts[single].sum())]), "kinds": pa.array([int(single.sum())]),
+        "shard": pa.array([key[0].as_py()], pa.int32()), "size": pa.array(f.size.astype(np.int64)), "data": pa.array([f.data.tobytes()], pa.binary()),
+        "words": pa.array([sum(int(c.sum()) for c in single)]), "kinds": pa.array([sum(len(c) for c in single)]),
     })
 
 
@@ -182,31 +209,13 @@ def _levels(g: Grams, look: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndar
     return one, two, np.where(g.before == _START[0], start, before)
 
 
-def _look(filters: dict[int, Filter], shards: int, keys: np.ndarray) -> np.ndarray:
-    """keys ascend, so each shard's lie together."""
-    cuts = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
-    out = np.zeros(len(keys), np.int64)
-    for s in np.flatnonzero(np.diff(cuts)).tolist():
-        if s in filters:
-            out[cuts[s] : cuts[s + 1]] = probe(filters[s], keys[cuts[s] : cuts[s + 1]])
-    return out
-
-
-_OPEN: dict[int, dict[int, Filter]] = {}
-
-
-def _filters(blob) -> dict[int, Filter]:
-    if id(blob.value) not in _OPEN:
-        _OPEN.clear()
-        _OPEN[id(blob.value)] = {s: Filter(size, np.frombuffer(data, np.uint8)) for s, size, data in blob.value}
-    return _OPEN[id(blob.value)]
-
-
 def _scored(blob, shards: int, scores: Scores, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    filters = _filters(blob)
-    for batch in by_bytes(batches, "text"):
+    sizes, data = blob.value
+    # an absent shard has no key: one bit that isn't set
+    own = Filter(np.array(sizes[0], U), np.array(sizes[1], U) * U(8), np.frombuffer(data, np.uint8))
+    for batch in by_bytes(batches, "text", AT_ONCE):
         g = grams(batch.column("text"))
-        yield _rows(batch, g, scores.log_probability(*_levels(g, partial(_look, filters, shards))))
+        yield _rows(batch, g, scores.log_probability(*_levels(g, lambda keys: probe(own, keys, shard_of(keys, shards)))))
 
 
 # The other way, for a filter too large to broadcast: probes travel to the shards, levels travel back.
@@ -217,7 +226,7 @@ _ASKED = "chunk string, shard int, place int, keys binary, ids array<bigint>, do
 def _asked(shards: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each chunk of texts: its shape, as places among its distinct keys, and those keys by shard."""
     task = TaskContext.get()
-    for number, batch in enumerate(by_bytes(batches, "text")):
+    for number, batch in enumerate(by_bytes(batches, "text", AT_ONCE)):
         g = grams(batch.column("text"))
         keys, back = np.unique(np.concatenate([g.one, g.two, _START]), return_inverse=True)
         back = back.astype(np.uint32)
@@ -243,7 +252,7 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for s, size, chunk, place, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "size", "chunk", "place", "data"))):
             if size is not None:
-                shard, f = s, Filter(size, np.frombuffer(data, np.uint8))
+                shard, f = s, side_by_side([size], [data])
                 continue
             keys = np.frombuffer(data, U)
             levels = probe(f, keys) if s == shard else np.zeros(len(keys), np.int64)
@@ -302,8 +311,13 @@ def lm_scores(docs: DataFrame, limit: int = BROADCAST) -> DataFrame:
     sums = filters.agg(F.sum("words"), F.sum("kinds")).first()
     scores = Scores(int(sums[0] or 0), int(sums[1] or 0))
     if stored_bytes(spark, path) <= limit:
-        data = [(r["shard"], r["size"], bytes(r["data"])) for r in filters.select("shard", "size", "data").toLocalIterator()]
-        return rows.mapInArrow(partial(_scored, spark.sparkContext.broadcast(data), int(shards), scores), _RESULT)
+        sizes, starts, data = [1] * int(shards), [0] * int(shards), bytearray(1)
+        for r in filters.select("shard", "size", "data").toLocalIterator():
+            sizes[r["shard"]], starts[r["shard"]] = r["size"], len(data)
+            data += r["data"]
+        blob = spark.sparkContext.broadcast(((sizes, starts), bytes(data)))
+        del data
+        return rows.mapInArrow(partial(_scored, blob, int(shards), scores), _RESULT)
     asked, _ = written(rows.mapInArrow(partial(_asked, int(shards)), _ASKED), "asked")
     none = F.lit(None)
     probes = asked.where("shard >= 0").select("shard", none.cast("bigint").alias("size"), "chunk", "place", F.col("keys").alias("data"))
