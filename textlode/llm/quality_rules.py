@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import labelled_sample
-from .shared import by_bytes, free_name, plain
+from .shared import by_bytes, free_name, with_string
 from .words import ALNUM, INKED, SAME, U, mix, raw, words
 
 #: Labelled rows to learn from; share of them that rules grow on, the others prune them.
@@ -192,23 +192,22 @@ def decision(rules: list[Rule], names: dict[str, str]) -> Column:
     return out
 
 
-def _measured(names: list[str], renamed: list[str]):
+def _measured(text: str, columns: list[str], fresh: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, names[-1], 1 << 20):
-            stats = measure(batch.column(names[-1]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(stats[s]) for s in STATISTICS)], renamed)
+        for batch in by_bytes(batches, text, 1 << 20):
+            stats = measure(batch.column(text))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *(pa.array(stats[s]) for s in STATISTICS)], [*columns, *fresh])
 
     return run
 
 
 def with_statistics(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with the STATISTICS of its text, under names that are free, and those names."""
-    text = free_name(docs, "_text")
     fresh = {s: free_name(docs, f"_{s}") for s in STATISTICS}
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    rows = docs.withColumn(text, plain(docs, "text", "string"))
+    rows, text = with_string(docs, "text")
     schema = ", ".join(fields + [f"`{fresh[s]}` double" for s in STATISTICS])
-    return rows.mapInArrow(_measured([*docs.columns, text], [*docs.columns, *fresh.values()]), schema), fresh
+    return rows.mapInArrow(_measured(text, docs.columns, list(fresh.values())), schema), fresh
 
 
 def learned_rules(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> list[Rule]:

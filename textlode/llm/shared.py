@@ -76,6 +76,14 @@ def plain(df: DataFrame, name: str, kind: str) -> Column:
     return df[f"`{name}`"].cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
+def with_string(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` and its column ``name`` if that is a string, so that texts don't travel twice; else with a copy as one."""
+    if (name, "string") in df.dtypes:
+        return df, name
+    copy = free_name(df, f"_{name}")
+    return df.withColumn(copy, plain(df, name, "string")), copy
+
+
 def _fileformat(docs: DataFrame) -> str | None:
     """The file format that ``docs`` is a bare scan of."""
     plan = docs._jdf.queryExecution().analyzed()
