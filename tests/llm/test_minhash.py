@@ -136,3 +136,34 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101)], "a bigint, b bigint")
     got = dict((r.node, r.root) for r in mh.components(edges).collect())
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def one_band_in_common(seed, pairs=400):
+    """Signatures that all share the first band, in pairs that agree in 59 to 70 coordinates and share no other."""
+    rng = np.random.default_rng(seed)
+    sigs = rng.integers(0, 1 << 16, (2 * pairs, mh.COORDINATES), dtype=np.uint16)
+    sigs[:, : mh.ROWS] = 7
+    free = [mh.ROWS * b + i for b in range(1, mh.COORDINATES // mh.ROWS) for i in range(mh.ROWS - 1)]
+    for i in range(pairs):
+        same = rng.choice(free, rng.integers(59, 71) - mh.ROWS, replace=False)
+        sigs[i + pairs, same] = sigs[i, same]
+    return sigs
+
+
+def test_pairs_of_a_wide_bucket_that_share_one_band_only():
+    sigs = one_band_in_common(6)
+    assert {(i, i + 400) for i in range(400)} == set(mh.linked(sigs, 59 / 128))
+
+
+def test_two_wide_bands_that_bring_the_same_rows_together():
+    sigs = one_band_in_common(7)
+    sigs[:, mh.ROWS : 2 * mh.ROWS] = 9
+    pairs = set(mh.linked(sigs, 59 / 128))
+    assert {(i, i + 400) for i in range(400)} == pairs
+
+
+def test_wide_buckets_in_blocks(spark):
+    sigs = one_band_in_common(8)
+    signed = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sigs)], "node bigint, sig binary")
+    got = {(r.a, r.b) for r in mh.similar(signed, mh.COORDINATES, mh.ROWS, 59 / 128, block=90).collect()}
+    assert got == {(i, i + 400) for i in range(400)}

@@ -17,8 +17,8 @@ COORDINATES, ROWS, SHINGLE = 128, 4, 3
 #: Share of coordinates that must agree: two standard errors of the estimate (0.044) below the similarity of 0.55 that is
 #: looked for, so that nearly every pair of that similarity is found.
 THRESHOLD = 0.46
-#: A bucket with more distinct signatures that stay apart than this is searched by further bands within it.
-WIDE = 256
+#: Distinct signatures of a bucket that a task holds against each other; of more, each two blocks are a task's work.
+BLOCK = 4096
 
 
 @cache
@@ -154,58 +154,54 @@ class _Union:
         self.root[np.isin(self.root, roots)] = roots[0]
 
 
-def linked(sigs: np.ndarray, threshold: float, rows: int = ROWS) -> list[tuple[int, int]]:
-    """Edges that join those rows of ``sigs`` that chains of similar pairs connect.
+def _agreeing(sigs: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """In how many coordinates each row agrees with ``one``."""
+    same = sigs == one
+    n, k = same.shape
+    if k % 8 or k > 2040:
+        return same.sum(axis=1)
+    return same.view(np.uint64).sum(axis=1).view(np.uint8).reshape(n, 8).sum(axis=1)  # eight counts at once
 
-    Each row is held against all rows that aren't yet connected with it, so copies of one text cost one pass. Rows
-    of which more than WIDE stay apart are first divided by each further band; a pair found by no band within the
-    bucket would have to agree in one band only.
+
+def linked(sigs: np.ndarray, threshold: float, split: int = 0) -> list[tuple[int, int]]:
+    """Edges that join those rows of ``sigs`` that chains of similar pairs connect; with ``split``, of pairs of a row
+    before it and one from it on.
+
+    Each row is held against all rows that aren't yet connected with it, so copies of one text cost one pass.
     """
     n, k = sigs.shape
     need = int(np.ceil(threshold * k))
     union, edges = _Union(n), []
-
-    def compare(those: np.ndarray) -> None:
-        for i, a in enumerate(those.tolist()):
-            rest = those[i + 1 :]
-            rest = rest[union.root[rest] != union.root[a]]
-            if not len(rest):
-                if (union.root[those] == union.root[a]).all():
-                    return
-                continue
-            hits = rest[(sigs[rest] == sigs[a]).sum(axis=1) >= need]
-            if len(hits):
-                edges.extend((a, b) for b in hits.tolist())
-                union.join(a, hits)
-
-    if n <= WIDE:
-        compare(np.arange(n))
-        return edges
-    bands = band_hashes(sigs, rows)
-    for j in range(bands.shape[1]):
-        order = np.argsort(bands[:, j], kind="stable")
-        cuts = np.flatnonzero(np.diff(bands[order, j])) + 1
-        parts = np.split(order, cuts)
-        if len(parts) == 1:  # the band by which they came here
+    for a in range(split or n):
+        first = max(a + 1, split)
+        rest = first + np.flatnonzero(union.root[first:] != union.root[a])
+        if not len(rest):
+            if (union.root == union.root[a]).all():
+                break
             continue
-        for part in parts:
-            if len(part) > 1:
-                compare(np.sort(part))
+        if 2 * len(rest) > n - first:  # without copying the rows
+            hits = rest[(_agreeing(sigs[first:], sigs[a]) >= need)[rest - first]]
+        else:
+            hits = rest[_agreeing(sigs[rest], sigs[a]) >= need]
+        if len(hits):
+            edges.extend((a, b) for b in hits.tolist())
+            union.join(a, hits)
     return edges
 
 
-def _compared(k: int, rows: int, threshold: float):
+def _compared(k: int, threshold: float):
     need = int(np.ceil(threshold * k))
 
-    def bucket(band: np.ndarray, node: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Edges of whole buckets; those of two members are compared all at once."""
-        cuts = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
+    def bucket(band: np.ndarray, cell: np.ndarray, second: np.ndarray, node: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edges of whole cells; those of two members are compared all at once."""
+        cuts = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (cell[1:] != cell[:-1])))
         sizes = np.diff(np.append(cuts, len(band)))
         two = cuts[sizes == 2]
         two = two[(sigs[two] == sigs[two + 1]).sum(axis=1) >= need] if len(two) else two
         a, b = [node[two]], [node[two + 1]]
         for at, size in zip(cuts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            if pairs := linked(sigs[at : at + size], threshold, rows):
+            split = size - int(second[at : at + size].sum())  # the rows of the second block come last
+            if pairs := linked(sigs[at : at + size], threshold, split % size):
                 x, y = np.array(pairs).T
                 a.append(node[at + x])
                 b.append(node[at + y])
@@ -213,7 +209,7 @@ def _compared(k: int, rows: int, threshold: float):
         return np.minimum(a, b), np.maximum(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def out() -> Iterator[pa.RecordBatch]:
             if held:
@@ -225,20 +221,42 @@ def _compared(k: int, rows: int, threshold: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            band, node = batch.column("band").to_numpy(), batch.column("node").to_numpy()
-            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, k)
-            last = int(np.searchsorted(band, band[-1]))  # the last bucket may go on in the next batch
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "cell", "second", "node")]
+            columns.append(np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, k))
+            band, cell = columns[:2]
+            others = np.flatnonzero((band != band[-1]) | (cell != cell[-1]))
+            last = int(others[-1]) + 1 if len(others) else 0  # the last cell may go on in the next batch
             if last:
-                held.append((band[:last], node[:last], sigs[:last]))
+                held.append(tuple(x[:last] for x in columns))
                 yield from out()
-            elif held and held[-1][0][-1] != band[0]:
+            elif held and (held[-1][0][-1] != band[0] or held[-1][1][-1] != cell[0]):
                 yield from out()
-            held.append((band[last:], node[last:], sigs[last:]))
+            held.append(tuple(x[last:] for x in columns))
         yield from out()
 
     return run
 
 
+def similar(signed: DataFrame, k: int, rows: int, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) that connect what chains of similar pairs connect among ``signed``(node, sig), of pairs that share
+    a band of ``rows`` coordinates.
+
+    All pairs of a bucket count, however wide it is: one of more than ``block`` signatures is cut into blocks of as
+    many, and each pair of blocks is a cell that is compared by itself, wherever it comes to lie.
+    """
+    bands = signed.select("node", "sig").mapInArrow(_banded(k, rows), "band bigint, node bigint")
+    # one exchange: rows of a band lie together, and only buckets of two or more signatures go on
+    shared = bands.withColumns({"low": F.min("node").over(w := Window.partitionBy("band")), "high": F.max("node").over(w)})
+    shared = shared.where("low < high").select("band", "node").distinct()
+    shared = shared.withColumns({"own": F.floor((F.row_number().over(w.orderBy("node")) - 1) / block), "blocks": F.ceil(F.count("*").over(w) / block)})
+    shared = shared.select("band", "node", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    least, most = F.least("own", "other"), F.greatest("own", "other")
+    cells = shared.select("band", (F.shiftleft(least, 32) + most).alias("cell"), (F.col("own") > F.col("other")).alias("second"), "node")
+    sigs = signed.select("node", "sig").dropDuplicates(["node"])
+    members = cells.join(sigs, "node").repartition("band", "cell").sortWithinPartitions("band", "cell", "node")
+    return members.select("band", "cell", "second", "node", "sig").mapInArrow(_compared(k, threshold), "a bigint, b bigint").distinct()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) of the graph of ``edges``(a, b): root is the least node of the component.
 
@@ -271,13 +289,7 @@ def near_groups(docs: DataFrame, k: int = COORDINATES, rows: int = ROWS, size: i
     file, row = place(docs)
     placed = docs.select(file.alias("file"), row.alias("row"), plain(docs, "doc_id", "bigint").alias("doc_id"), plain(docs, "text", "string").alias("text"))
     signed, _ = written(placed.mapInArrow(_signed(k, size), "file bigint, row bigint, doc_id bigint, node bigint, sig binary"), "signed")
-    bands = signed.select("node", "sig").mapInArrow(_banded(k, rows), "band bigint, node bigint")
-    # one exchange: rows of a band lie together, and only buckets of two or more signatures go on
-    shared = bands.withColumns({"low": F.min("node").over(w := Window.partitionBy("band")), "high": F.max("node").over(w)})
-    shared = shared.where("low < high").select("band", "node").distinct()
-    sigs = signed.select("node", "sig").dropDuplicates(["node"])
-    members = shared.join(sigs, "node").repartition("band").sortWithinPartitions("band", "node")
-    edges, path = written(members.mapInArrow(_compared(k, rows, threshold), "a bigint, b bigint").distinct(), "near-edges")
+    edges, path = written(similar(signed, k, rows, threshold), "near-edges")
     groups = components(edges)
     drop(docs.sparkSession, path)
     return signed.select("file", "row", "doc_id", "node"), groups
