@@ -167,3 +167,25 @@ def test_wide_buckets_in_blocks(spark):
     signed = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sigs)], "node bigint, sig binary")
     got = {(r.a, r.b) for r in mh.similar(signed, mh.COORDINATES, mh.ROWS, 59 / 128, block=90).collect()}
     assert got == {(i, i + 400) for i in range(400)}
+
+
+def test_recall_of_pairs_down_to_the_similarity_looked_for():
+    """Pairs of sets of known similarity, from those looked for up: nine of ten at least share a band and agree enough;
+    so do nine of ten of those that only just agree enough share a band."""
+    rng = np.random.default_rng(11)
+    n, size = 400, 240
+    for similarity in (0.5, 0.55, 0.6):
+        both = round(2 * size * similarity / (1 + similarity))  # of each text's elements
+        shared = rng.integers(0, 1 << 63, (n, both)).astype(mh.U)
+        own = [np.concatenate([shared, rng.integers(0, 1 << 63, (n, size - both)).astype(mh.U)], axis=1) for _ in range(2)]
+        doc = np.repeat(np.arange(n), size)
+        a, b = (mh.signatures(doc, x.ravel(), np.ones(n * size), n) for x in own)
+        met = (mh.band_hashes(a, mh.ROWS) == mh.band_hashes(b, mh.ROWS)).any(axis=1)
+        agree = (a == b).mean(axis=1) >= mh.THRESHOLD
+        assert (met & agree).mean() >= 0.9, (similarity, (met & agree).mean())
+    least = int(np.ceil(mh.THRESHOLD * mh.COORDINATES))
+    a, b = (rng.integers(0, 1 << 16, (2000, mh.COORDINATES), dtype=np.uint16) for _ in range(2))
+    for x, y in zip(a, b):
+        same = rng.choice(mh.COORDINATES, least, replace=False)
+        y[same] = x[same]
+    assert (mh.band_hashes(a, mh.ROWS) == mh.band_hashes(b, mh.ROWS)).any(axis=1).mean() >= 0.9

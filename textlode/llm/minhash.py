@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from .shared import by_bytes, drop, located, place, plain, without, written
 from .words import U, mix, shingles, words
 
-COORDINATES, ROWS, SHINGLE = 128, 4, 3
-#: Share of coordinates that must agree: two standard errors of the estimate (0.044) below the similarity of 0.55 that is
-#: looked for, so that nearly every pair of that similarity is found.
-THRESHOLD = 0.46
+COORDINATES, ROWS, SHINGLE = 128, 3, 3
+#: Weighted Jaccard similarity that is looked for: that of texts of equal length that share two thirds of their shingles,
+#: as a copy does in which about one word in eight was replaced.
+SIMILARITY = 0.5
+#: Share of coordinates that must agree: two standard errors of the estimate (0.044) below SIMILARITY. A pair that just
+#: agrees in as many shares one of the 42 bands of ROWS with 0.95, one of SIMILARITY with 0.99.
+THRESHOLD = 0.41
 #: Distinct signatures of a bucket that a task holds against each other; of more, each two blocks are a task's work.
 BLOCK = 4096
 
