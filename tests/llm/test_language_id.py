@@ -63,3 +63,13 @@ def test_without_labels(spark):
 
 def test_empty_table(spark):
     assert li.language_id(empty(spark), labels(spark)).collect() == []
+
+
+def test_every_text_of_the_sample_gives_a_piece(spark):
+    """Whatever the order of the rows, and not only from the starts of texts."""
+    rows = [(i, f"start{i:03d} " * 40 + f"end{i:03d} " * 40, "en", "s", 1) for i in range(300)]
+    own = labels(spark, [(r[0], 1, 0) for r in rows])
+    made = [li.dictionaries(spark.createDataFrame(x, SCHEMA), own)["en"] for x in (rows, rows[::-1])]
+    assert made[0] == made[1] and len(made[0]) <= li.DICTIONARY
+    assert all(f"start{i:03d}".encode() in made[0] or f"end{i:03d}".encode() in made[0] for i in range(300))
+    assert 60 < sum(f"end{i:03d}".encode() in made[0] for i in range(300)) < 240

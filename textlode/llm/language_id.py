@@ -9,12 +9,13 @@ import numpy as np
 import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .labelled import labelled_sample
 from .shared import by_bytes, plain
 
-#: Labelled rows looked at, bytes of dictionary for each language, bytes compressed at once.
-ROWS, DICTIONARY, CHUNK = 4000, 16 << 10, 4096
+#: Labelled rows looked at, bytes of dictionary for each language, least bytes of a text in it, bytes compressed at once.
+ROWS, DICTIONARY, PIECE, CHUNK = 4000, 64 << 10, 64, 4096
 #: Compression levels; a text whose margin at the first is below SURE is looked at again at the second.
 LEVELS, SURE = (1, 12), 0.06
 #: The best must be smaller than the next by this share of it, or the text is rejected.
@@ -24,13 +25,19 @@ _PACKERS: dict[int, list[zstd.ZstdCompressor]] = {}
 
 
 def dictionaries(docs: DataFrame, labels: DataFrame, rows: int = ROWS, size: int = DICTIONARY) -> dict[str, bytes]:
-    """Raw dictionary content for each language: the starts of its texts among ``rows`` labelled good ones, in order
-    of hash, as many bytes of each as share ``size`` evenly. Languages without such a text have none."""
-    sample = labelled_sample(docs, labels.where("quality = 1"), rows).where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").select("lang", "text").toPandas()
+    """Raw dictionary content for each language: a piece of each of its texts among ``rows`` labelled good ones, in
+    order of hash, as many bytes of each as share ``size`` evenly, from places spread over whole texts. Of more texts
+    than ``size`` has room for at PIECE bytes, the first by hash. Languages without such a text have none."""
+    sample = labelled_sample(docs, labels.where("quality = 1"), rows).where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    sample = sample.select("lang", "text", F.xxhash64("doc_id").alias("hash"), "doc_id").orderBy("hash", "doc_id", "text").toPandas()
     out = {}
     for lang, texts in sorted(sample.groupby("lang")["text"]):
-        each = max(512, size // len(texts))
-        out[lang] = b"\n".join(t.encode()[:each] for t in texts)[:size]
+        each = max(PIECE, size // len(texts) - 1)  # and a line feed
+        pieces = []
+        for i, text in enumerate(t.encode() for t in texts):
+            at = int(i * 0.6180339887498949 % 1 * (max(0, len(text) - each) + 1))
+            pieces.append(text[at : at + each])
+        out[lang] = b"\n".join(pieces)[:size]
     return out
 
 
