@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_MARKED: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -15,7 +16,7 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_ROOTS:
@@ -24,6 +25,24 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop's file system of the path, the path)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A folder name below it that nothing has used."""
-    return f"{scratch_root(spark)}/textlode/{name}-{uuid.uuid4().hex}"
+    """A folder name that nothing has used; all such folders lie in one, which goes when the application ends."""
+    root = f"{scratch_root(spark)}/textlode-{spark.sparkContext.applicationId}"
+    if root not in _MARKED:
+        fs, p = file_system(spark, root)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _MARKED.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table that no unread DataFrame needs."""
+    fs, p = file_system(spark, path)
+    fs.delete(p, True)
