@@ -42,11 +42,11 @@ def test_filters_depend_on_their_own_rows_only(spark):
     want = {r.doc_id for r in measured.where(quality_rules.decision(rules, names).isNull()).collect()}
     assert {r.doc_id for r in quality_rules.quality_rules(docs, own).collect()} == want
     model, limits = kneser_ney.quality_model(docs, own)
-    rated, nll, n, _ = kneser_ney.scored(docs, model)
+    rated, name = kneser_ney.scored(docs, model)
     want = set()
     for r in rated.collect():
         mean, limit = limits.get(r.lang, (0, float("inf")))
-        if r[n] and (r[nll] + kneser_ney.PRIOR * mean) / (r[n] + kneser_ney.PRIOR) <= limit:
+        if r[name].n and (r[name].nll + kneser_ney.PRIOR * mean) / (r[name].n + kneser_ney.PRIOR) <= limit:
             want.add(r.doc_id)
     assert {r.doc_id for r in kneser_ney.quality_filter(docs, own).collect()} == want
 

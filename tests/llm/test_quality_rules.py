@@ -49,6 +49,67 @@ def test_rules_cover_what_is_bad():
     assert (hit == bad).mean() > 0.97 and (hit & ~bad).sum() <= 0.03 * (~bad).sum()
 
 
+def brute_learn(table, seed=7):
+    """Sequential covering in plain loops over dictionaries: every cut of every statistic is counted anew."""
+    random_, rules, failed = np.random.default_rng(seed), [], 0
+    rows = sorted(table.to_dict("records"), key=lambda r: [r[s] for s in [*qr.STATISTICS, "quality"]])
+
+    def holds(rule, r):
+        return all((r[c.statistic] > c.cut) == c.above for c in rule)
+
+    def tally(own):
+        return sum(r["quality"] == 0 for r in own), sum(r["quality"] != 0 for r in own)
+
+    def grow(own):
+        rule = []
+        while len(rule) < qr.MOST_CONDITIONS:
+            live = [r for r in own if holds(rule, r)]
+            p0, n0 = tally(live)
+            if not p0 or not n0:
+                break
+            best = (1e-9, None)
+            for name in qr.STATISTICS:
+                values = sorted(r[name] for r in live)
+                picks = sorted({values[int(np.floor(q * (len(values) - 1)))] for q in np.linspace(0, 1, qr.CUTS)})[:-1]
+                for above in (False, True):
+                    for v in picks:
+                        cut = (v + min(x for x in values if x > v)) / 2
+                        p, n = tally([r for r in live if (r[name] > cut) == above])
+                        gain = p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0))) if p else -np.inf
+                        if gain > best[0]:
+                            best = (gain, qr.Condition(name, above, cut))
+            if best[1] is None:
+                break
+            rule.append(best[1])
+        return rule
+
+    while len(rules) < qr.MOST_RULES and failed < qr.TRIES and rows:
+        rows = [rows[i] for i in random_.permutation(len(rows))]
+        cut = int(len(rows) * qr.GROW)
+        old, new = rows[:cut], rows[cut:]
+        rule = grow(old)
+        failed += 1
+        if rule and tally(new)[0]:
+            worth = []
+            for k in range(1, len(rule) + 1):
+                p, n = tally([r for r in new if holds(rule[:k], r)])
+                worth.append(((p - n) / (p + n) if p + n else -1.0, k))
+            rule = rule[: max(worth)[1]]
+            p, n = tally([r for r in new if holds(rule, r)])
+            if p >= qr.COVER and p >= qr.PRECISION * (p + n):
+                rules.append(rule)
+                rows = [r for r in rows if not holds(rule, r)]
+                failed = 0
+    return rules
+
+
+@pytest.mark.parametrize("seed", [0, 3])
+def test_learner_against_brute_force(seed):
+    got, want = qr.learn(synthetic(240, seed)), brute_learn(synthetic(240, seed))
+    assert got and [[(c.statistic, c.above) for c in r] for r in got] == [[(c.statistic, c.above) for c in r] for r in want]
+    assert np.allclose([c.cut for r in got for c in r], [c.cut for r in want for c in r])
+
+
 def test_order_of_rows_does_not_matter():
     rows = synthetic()
     assert qr.learn(rows) == qr.learn(rows.sample(frac=1, random_state=4))

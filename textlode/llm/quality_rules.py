@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import labelled_sample
-from .shared import by_bytes, free_name, with_string
+from .shared import cuts, free_name, give_back, plain, small_batches
 from .words import ALNUM, INKED, SAME, U, mix, raw, words
 
 #: Labelled rows to learn from; share of them that rules grow on, the others prune them.
@@ -23,8 +23,8 @@ ROWS, GROW = 12_000, 2 / 3
 PRECISION, COVER, CUTS, MOST_CONDITIONS, MOST_RULES = 0.97, 3, 48, 4, 24
 #: Fresh splits on which a rule may fail in a row before covering ends.
 TRIES = 4
-#: Words within which distinct ones are counted.
-STRETCH = 100
+#: Words within which distinct ones are counted; bytes of text that a worker looks at together.
+STRETCH, AT_ONCE = 100, 1 << 19
 
 STATISTICS = ["n_words", "word_length", "letters", "symbols", "upper", "digits", "bare_words", "marked_words", "distinct_words", "top_word", "stops", "lines"]
 
@@ -183,38 +183,44 @@ def learn(rows: pd.DataFrame, seed: int = 7) -> list[Rule]:
 def decision(rules: list[Rule], names: dict[str, str]) -> Column:
     """Number of the first rule that holds, from 1; 0 for a text without a word; null for those to keep.
 
-    ``names`` has the columns of the statistics.
+    ``names`` has what the statistics are called.
     """
-    out = F.when(F.col(f"`{names['n_words']}`") == 0, F.lit(0))
+    out = F.when(F.col(names["n_words"]) == 0, F.lit(0))
     for i, rule in enumerate(rules, 1):
-        tests = [Condition(f"`{names[c.statistic]}`", c.above, c.cut).column() for c in rule]
+        tests = [Condition(names[c.statistic], c.above, c.cut).column() for c in rule]
         out = out.when(reduce(and_, tests), F.lit(i))
     return out
 
 
-def _measured(text: str, columns: list[str], fresh: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, text, 1 << 20):
-            stats = measure(batch.column(text))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *(pa.array(stats[s]) for s in STATISTICS)], [*columns, *fresh])
-
-    return run
+def _measured(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    try:
+        for text in texts:
+            at = cuts(text, AT_ONCE)
+            parts = [measure(text.slice(i, j - i)) for i, j in zip(at[:-1], at[1:])]
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate([p[s] for p in parts])) for s in STATISTICS], STATISTICS)
+    finally:
+        give_back()
 
 
 def with_statistics(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with the STATISTICS of its text, under names that are free, and those names."""
-    fresh = {s: free_name(docs, f"_{s}") for s in STATISTICS}
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    rows, text = with_string(docs, "text")
-    schema = ", ".join(fields + [f"`{fresh[s]}` double" for s in STATISTICS])
-    return rows.mapInArrow(_measured(text, docs.columns, list(fresh.values())), schema), fresh
+    """``docs`` with a struct of the STATISTICS of its text under a free name, and what each is called. Only texts go
+    to the workers, and only numbers come back."""
+    small_batches(docs.sparkSession)
+
+    @F.arrow_udf(", ".join(f"{s} double" for s in STATISTICS))
+    def statistics(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _measured(texts)
+
+    name = free_name(docs, "_statistics")
+    # said not to be deterministic so that filters on it don't compute it anew
+    return docs.withColumn(name, statistics.asNondeterministic()(plain(docs, "text", "string"))), {s: f"`{name}`.`{s}`" for s in STATISTICS}
 
 
 def learned_rules(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> list[Rule]:
     """Rules from at most ``rows`` labelled documents; none if either label is missing."""
     sample = labelled_sample(docs, labels, rows).select("quality", "text")
-    measured, fresh = with_statistics(sample)
-    table = measured.select("quality", *[F.col(f"`{fresh[s]}`").alias(s) for s in STATISTICS]).toPandas()
+    measured, names = with_statistics(sample)
+    table = measured.select("quality", *[F.col(names[s]).alias(s) for s in STATISTICS]).toPandas()
     return learn(table) if table["quality"].nunique() > 1 else []
 
 
@@ -223,9 +229,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataF
 
     Rules are conjunctions of thresholds on STATISTICS, learned from at most ``rows`` labelled rows, tried in order as
     one CASE expression. A null, empty or wordless text is rejected; without labels of both kinds nothing else is. A
-    null doc_id or lang doesn't matter; repeated rows are decided alike; further columns pass through whatever their
-    names; an empty table gives an empty table. One pass, no exchange.
+    very long text is measured to its end. A null doc_id or lang doesn't matter; repeated rows are decided alike, and
+    a statistic that equals a threshold lies below it; further columns pass through whatever their names; an empty
+    table gives an empty table. One pass, no exchange.
     """
     rules = learned_rules(docs, labels, rows)
-    measured, fresh = with_statistics(docs)
-    return measured.where(decision(rules, fresh).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    measured, names = with_statistics(docs)
+    return measured.where(decision(rules, names).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -15,40 +15,44 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_ROOTS: dict[str, str] = {}
+from ..storage import drop, file_system, scratch_path, scratch_root
 
+__all__ = ["drop", "scratch_path", "scratch_root"]
 
-def scratch_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only in local mode without one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="textlode-")
-        spark.sparkContext.setCheckpointDir(_LOCAL_ROOTS[app])
-    return _LOCAL_ROOTS[app]
+#: Bytes of an Arrow batch on its way to a worker, however many rows the session would allow: neither side holds much.
+BATCH_BYTES = 4 << 20
+_PER_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/textlode/{name}-{uuid.uuid4().hex}"
+def give_back() -> None:
+    """Returns memory to the system that a worker, which serves many tasks, has no use for."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches of the session by BATCH_BYTES, unless it has a bound of its own."""
+    if spark.conf.get(_PER_BATCH) == _DEFAULT:
+        spark.conf.set(_PER_BATCH, str(BATCH_BYTES))
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch table that no unread DataFrame needs."""
-    fs, p = _fs(spark, path)
-    fs.delete(p, True)
+def _tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    try:
+        yield from run(batches)
+    finally:
+        give_back()
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` in small batches, after which the worker gives its memory back."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(partial(_tidied, run), schema)
 
 
 def stored_bytes(spark: SparkSession, path: str) -> int:
-    fs, p = _fs(spark, path)
+    fs, p = file_system(spark, path)
     return int(fs.getContentSummary(p).getLength())
 
 
@@ -76,14 +80,6 @@ def plain(df: DataFrame, name: str, kind: str) -> Column:
     return df[f"`{name}`"].cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
-def with_string(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` and its column ``name`` if that is a string, so that texts don't travel twice; else with a copy as one."""
-    if (name, "string") in df.dtypes:
-        return df, name
-    copy = free_name(df, f"_{name}")
-    return df.withColumn(copy, plain(df, name, "string")), copy
-
-
 def _fileformat(docs: DataFrame) -> str | None:
     """The file format that ``docs`` is a bare scan of."""
     plan = docs._jdf.queryExecution().analyzed()
@@ -102,7 +98,7 @@ def folder_of(docs: DataFrame) -> str | None:
     if _fileformat(docs) != "Parquet" or not docs._jdf.queryExecution().analyzed().relation().partitionSchema().isEmpty() or not (files := docs.inputFiles()):
         return None
     folder = files[0].rsplit("/", 1)[0]
-    fs, p = _fs(docs.sparkSession, docs.sparkSession._jvm.java.net.URI(folder).getPath() if folder.startswith("file:") else folder)
+    fs, p = file_system(docs.sparkSession, docs.sparkSession._jvm.java.net.URI(folder).getPath() if folder.startswith("file:") else folder)
     if {f.rsplit("/", 1)[0] for f in files} != {folder} or not fs.exists(p):
         return None
     names = {n for s in fs.listStatus(p) if not (n := s.getPath().getName()).startswith(("_", "."))}
@@ -156,8 +152,10 @@ def without(docs: DataFrame, doomed: DataFrame, name: str) -> DataFrame:
     spark = docs.sparkSession
     folders = max(1, len(docs.inputFiles()) // FILES_TOGETHER)
     path = scratch_path(spark, name)
+    small_batches(spark)
     lists = doomed.groupBy("file").agg(F.sort_array(F.collect_set("row")).alias("rows"))
-    lists.withColumn("folder", F.pmod("file", F.lit(folders))).write.partitionBy("folder").parquet(path)
+    # a folder's lists are written by one task, so that whoever reads them opens one file
+    lists.withColumn("folder", F.pmod("file", F.lit(folders))).repartition("folder").write.partitionBy("folder").parquet(path)
 
     @F.pandas_udf("boolean")
     def kept(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -166,21 +164,30 @@ def without(docs: DataFrame, doomed: DataFrame, name: str) -> DataFrame:
     return docs.where(kept(*place(docs))).select(*[docs[f"`{c}`"] for c in docs.columns])
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches of about ``limit`` bytes of text; a longer text makes a slice of its own."""
+#: Rows that a worker looks at together at most: some work takes as much for a short text as for a long one.
+ROWS_AT_ONCE = 512
+
+
+def cuts(text: pa.Array, limit: int, rows: int | None = None) -> list[int]:
+    """Where to cut an array of texts so that slices have about ``limit`` bytes and at most ``rows`` texts; a longer
+    text makes a slice of its own."""
+    n = len(text)
+    if text.nbytes <= limit and (rows is None or n <= rows):
+        return [0, n]
+    sizes = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_numpy(zero_copy_only=False)
+    out, held = [0], 0
+    for i, size in enumerate(sizes.tolist()):
+        if held and held + size > limit or rows is not None and i - out[-1] >= rows:
+            out.append(i)
+            held = 0
+        held += size
+    return [*out, n]
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 22, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches as ``cuts`` says."""
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        text = batch.column(column)
-        if text.nbytes <= limit:
-            yield batch
-            continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_numpy(zero_copy_only=False)
-        start, held = 0, 0
-        for i, size in enumerate(sizes.tolist()):
-            if held and held + size > limit:
-                yield batch.slice(start, i - start)
-                start, held = i, 0
-            held += size
-        yield batch.slice(start, n - start)
+        if batch.num_rows:
+            at = cuts(batch.column(column), limit, rows)
+            for i, j in zip(at[:-1], at[1:]):
+                yield batch.slice(i, j - i)

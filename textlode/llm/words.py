@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 
 
 class Words(NamedTuple):
@@ -27,15 +26,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@cache
+_POWERS: list[np.ndarray] = []
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_BASE, -1, 1 << 64)
-    out = []
-    for base in (_BASE, inverse):
+    """Powers of the base and of its inverse; those of a segment are kept, longer ones are made for the one word."""
+    if n <= _SEGMENT and _POWERS:
+        return _POWERS[0], _POWERS[1]
+    n, out = max(n, _SEGMENT), []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
         steps = np.full(n, base, U)
         steps[0] = 1
         with np.errstate(over="ignore"):
-            out.append(np.cumprod(steps, dtype=U))
+            out.append(np.cumprod(steps, out=steps))
+    if n == _SEGMENT:
+        _POWERS[:] = out
     return out[0], out[1]
 
 
@@ -101,7 +106,7 @@ def words(texts: pa.Array, inside: np.ndarray = ALNUM, value: np.ndarray = FOLD)
         last = int(np.searchsorted(ends, lo + _SEGMENT, side="right"))
         last = max(last, first + 1)  # a word longer than a segment is hashed whole
         hi = int(ends[last - 1])
-        up, down = _powers(_SEGMENT if hi - lo <= _SEGMENT else hi - lo)
+        up, down = _powers(hi - lo)
         sums = np.empty(hi - lo + 1, U)
         sums[0] = 0
         np.cumsum(value[data[lo:hi]] * up[: hi - lo], out=sums[1:])
@@ -144,11 +149,14 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 class HashIndex:
     """Sorted uint64 keys of a good hash with a directory by their first bits; finds many at once."""
 
-    def __init__(self, keys: np.ndarray):
+    def __init__(self, keys: np.ndarray, starts: np.ndarray | None = None):
+        """``starts``: the directory of an index of these keys, if one has been made."""
         self.keys = keys
         self.bits = max(1, int(len(keys)).bit_length())
-        held = np.bincount((keys >> U(64 - self.bits)).astype(np.int64), minlength=1 << self.bits)
-        self.starts = np.append(0, np.cumsum(held)).astype(np.int32 if len(keys) < 1 << 31 else np.int64)
+        if starts is None:
+            held = np.bincount((keys >> U(64 - self.bits)).astype(np.int64), minlength=1 << self.bits)
+            starts = np.append(0, np.cumsum(held)).astype(np.int32 if len(keys) < 1 << 31 else np.int64)
+        self.starts = starts
 
     def find(self, asked: np.ndarray) -> np.ndarray:
         """Places of the keys asked for, -1 where there is none."""
