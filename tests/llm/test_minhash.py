@@ -1,11 +1,13 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from textlode.llm import minhash as mh
-from textlode.llm.shared import located
+from textlode.llm.shared import located, matched
 
 from .cases import SCHEMA, awkward, awkward_rows, empty, prose, table
 
@@ -74,7 +76,7 @@ def test_recall_and_precision_against_brute_force(spark):
     rows = planted(4)
     own = bags([r[1] for r in rows])
     close = [(a, b, jaccard(own[a], own[b])) for a in range(len(rows)) for b in range(a)]
-    signed, groups = mh.near_groups(located(spark.createDataFrame(rows, SCHEMA), "test"))
+    signed, _, groups = mh.near_groups(located(spark.createDataFrame(rows, SCHEMA), "test"))
     root = {r.node: r.root for r in groups.collect()}
     of = {r.doc_id: root.get(r.node, r.node) for r in signed.collect()}
     want = [(a, b) for a, b, s in close if s >= 0.55]
@@ -169,6 +171,35 @@ def test_wide_buckets_in_blocks(spark):
     assert got == {(i, i + 400) for i in range(400)}
 
 
+@pytest.mark.parametrize("rows", [257, 5000])
+def test_a_wide_bucket_of_pairs_that_share_one_band(spark, rows):
+    """Wide and widest buckets, whose blocks come by number and by hash: all pairs of one band are found."""
+    sigs = one_band_in_common(rows, (rows + 1) // 2)
+    nodes = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sigs)], "node bigint, sig binary").repartition(3)
+    for block in (rows // 3, 4096):
+        got = {(r.a, r.b) for r in mh.similar(nodes, mh.COORDINATES, mh.ROWS, 59 / 128, block=block).collect()}
+        assert got == {(i, i + len(sigs) // 2) for i in range(len(sigs) // 2)}
+
+
+def test_hot_keys_are_joined_like_others(spark):
+    rows = spark.createDataFrame([(i, i % 3 and i) for i in range(90)], "row bigint, key bigint")
+    facts = rows.groupBy("key").agg(mh.F.count("*").alias("n"), mh.F.min("row").alias("least")).where("key % 2 = 0")
+    want = table(rows.join(facts.drop("n"), "key"), "key", "row", "least")
+    assert table(matched(rows, facts, "key", hot=10), "key", "row", "least") == want == table(matched(rows, facts, "key"), "key", "row", "least")
+
+
+def test_short_texts_take_little_memory():
+    texts = pa.array([f"a{i} b{i % 7} c d{i % 11}" for i in range(10_000)])
+    ids = pa.array(range(10_000), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, ids, texts], ["file", "row", "doc_id", "text"])
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in mh._signed(mh.COORDINATES, mh.SHINGLE)([batch])) == 10_000
+        assert tracemalloc.get_traced_memory()[1] < 300e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_recall_of_pairs_down_to_the_similarity_looked_for():
     """Pairs of sets of known similarity, from those looked for up: nine of ten at least share a band and agree enough;
     so do nine of ten of those that only just agree enough share a band."""

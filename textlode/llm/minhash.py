@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import by_bytes, drop, located, place, plain, without, written
+from .shared import ROWS_AT_ONCE, by_bytes, drop, in_arrow, located, matched, place, plain, without, written
 from .words import U, mix, shingles, words
 
 COORDINATES, ROWS, SHINGLE = 128, 3, 3
@@ -22,6 +22,9 @@ SIMILARITY = 0.5
 THRESHOLD = 0.41
 #: Distinct signatures of a bucket that a task holds against each other; of more, each two blocks are a task's work.
 BLOCK = 4096
+#: Buckets so wide that a task shouldn't even number their rows are fewer than so many; bits of a bucket's hash by which
+#: they are looked for first.
+WIDEST, PREFIX = 20_000, 20
 
 
 @cache
@@ -120,7 +123,7 @@ def band_hashes(sigs: np.ndarray, rows: int) -> np.ndarray:
 
 def _signed(k: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", 1 << 18):
+        for batch in by_bytes(batches, "text", 1 << 18, ROWS_AT_ONCE):
             n = batch.num_rows
             doc, element, weight = weighted(batch.column("text"), size)
             sigs = signatures(doc, element, weight, n, k)
@@ -240,62 +243,88 @@ def _compared(k: int, threshold: float):
     return run
 
 
-def similar(signed: DataFrame, k: int, rows: int, threshold: float, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) that connect what chains of similar pairs connect among ``signed``(node, sig), of pairs that share
-    a band of ``rows`` coordinates.
+def _widest(bands: DataFrame, block: int) -> DataFrame:
+    """(band, n): buckets of more rows than ``block`` and than one in WIDEST of all rows, so fewer than WIDEST.
 
-    All pairs of a bucket count, however wide it is: one of more than ``block`` signatures is cut into blocks of as
-    many, and each pair of blocks is a cell that is compared by itself, wherever it comes to lie.
+    Rows are counted by a prefix of the bucket first, which takes little to exchange; a prefix that holds such a
+    bucket has as many rows more than it would, so only few rows are counted by bucket.
     """
-    bands = signed.select("node", "sig").mapInArrow(_banded(k, rows), "band bigint, node bigint")
+    prefix = F.shiftrightunsigned("band", 64 - PREFIX)
+    counts, path = written(bands.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n")), "near-prefixes")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    least = max(block, total // WIDEST)
+    some = F.broadcast(counts.where(F.col("n") > least).select("prefix"))  # fewer than WIDEST as well
+    wide, _ = written(bands.join(some, prefix == F.col("prefix")).groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > least), "near-widest")
+    drop(bands.sparkSession, path)
+    return wide
+
+
+def similar(nodes: DataFrame, k: int, rows: int, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) that connect what chains of similar pairs connect among ``nodes``(node, sig), one row a signature,
+    of pairs that share a band of ``rows`` coordinates.
+
+    All pairs of a bucket count, however wide it is: one of more than ``block`` signatures is cut into blocks of about
+    as many, and each pair of blocks is a cell that is compared by itself, wherever it comes to lie.
+    """
+    bands, _ = written(in_arrow(nodes.select("node", "sig"), _banded(k, rows), "band bigint, node bigint"), "near-bands")
+    wide = F.broadcast(_widest(bands, block))
     # one exchange: rows of a band lie together, and only buckets of two or more signatures go on
-    shared = bands.withColumns({"low": F.min("node").over(w := Window.partitionBy("band")), "high": F.max("node").over(w)})
-    shared = shared.where("low < high").select("band", "node").distinct()
-    shared = shared.withColumns({"own": F.floor((F.row_number().over(w.orderBy("node")) - 1) / block), "blocks": F.ceil(F.count("*").over(w) / block)})
-    shared = shared.select("band", "node", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    numbered = bands.join(wide, "band", "left_anti").withColumn("i", F.row_number().over((w := Window.partitionBy("band")).orderBy("node")) - 1)
+    numbered = numbered.withColumn("n", F.count("*").over(w)).where("n > 1").withColumns({"own": F.floor(F.col("i") / block), "blocks": F.ceil(F.col("n") / block)}).drop("i", "n")
+    # rows of the widest aren't brought together to be numbered: their blocks come by hash
+    dealt = bands.join(wide, "band").withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).drop("n")
+    shared = numbered.unionByName(dealt).select("band", "node", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
     least, most = F.least("own", "other"), F.greatest("own", "other")
     cells = shared.select("band", (F.shiftleft(least, 32) + most).alias("cell"), (F.col("own") > F.col("other")).alias("second"), "node")
-    sigs = signed.select("node", "sig").dropDuplicates(["node"])
-    members = cells.join(sigs, "node").repartition("band", "cell").sortWithinPartitions("band", "cell", "node")
-    return members.select("band", "cell", "second", "node", "sig").mapInArrow(_compared(k, threshold), "a bigint, b bigint").distinct()
+    members = cells.join(nodes.select("node", "sig"), "node").repartition("band", "cell").sortWithinPartitions("band", "cell", "second", "node")
+    return in_arrow(members.select("band", "cell", "second", "node", "sig"), _compared(k, threshold), "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) of the graph of ``edges``(a, b): root is the least node of the component.
 
     Each round hands every node the least root among its neighbours' and then that root's own root; both are joins on
-    node, each round is written to the shared folder, and rounds stop when none changes.
+    node, in which nodes of very many edges are broadcast. Each round is written to the shared folder, and rounds stop
+    when none changes.
     """
     spark = edges.sparkSession
     both, both_path = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), f"{name}-edges")
-    roots, path = written(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")), name)
+    first = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
+    roots, path = written(first.select(F.col("a").alias("node"), F.least("a", "low").alias("root"), "n"), name)
     while True:
-        near = both.join(roots.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        step = roots.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("root", "near").alias("next"), F.col("root").alias("old"))
-        up = roots.select(F.col("node").alias("next"), F.col("root").alias("above"))
-        step = step.join(up, "next", "left").select("node", F.least("next", "above").alias("root"), "old")
-        new, new_path = written(step, name)
-        changed = not new.where("root <> old").isEmpty()
-        drop(spark, path)
-        roots, path = new.select("node", "root"), new_path
-        if not changed:
+        near = matched(both, roots.select(F.col("node").alias("b"), "root", "n"), "b").groupBy("a").agg(F.min("root").alias("near"))
+        step = roots.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("n").alias("degree"), F.least("root", "near").alias("next"), F.col("root").alias("old"))
+        step, step_path = written(step, name)
+        if step.where("next <> old").isEmpty():
+            drop(spark, path)
             drop(spark, both_path)
-            return roots
+            return step.select("node", F.col("next").alias("root"))
+        # few roots stand for many nodes, so the rows of a root are counted for the join as well
+        above = roots.select(F.col("node").alias("next"), F.col("root").alias("above"))
+        up = step.groupBy("next").agg(F.count("*").alias("n")).join(above, "next")
+        new, new_path = written(matched(step, up, "next").select("node", F.least("next", "above").alias("root"), F.col("degree").alias("n")), name)
+        drop(spark, path)
+        drop(spark, step_path)
+        roots, path = new, new_path
 
 
-def near_groups(docs: DataFrame, k: int = COORDINATES, rows: int = ROWS, size: int = SHINGLE, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(signed, groups): the rows of ``docs``, a ``located`` table, that have words as (file, row, doc_id, node), and
-    (node, root) of each signature that a chain of similar ones connects with another.
+def near_groups(docs: DataFrame, k: int = COORDINATES, rows: int = ROWS, size: int = SHINGLE, threshold: float = THRESHOLD, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signed, nodes, groups): the rows of ``docs``, a ``located`` table, that have words as (file, row, doc_id, node);
+    each signature with its first row and the number of rows as (node, n, first); and (node, root) of each signature
+    that a chain of similar ones connects with another.
 
     Similar: as many as ``threshold`` of the ``k`` coordinates agree. Pairs come from bands of ``rows`` coordinates.
     """
     file, row = place(docs)
     placed = docs.select(file.alias("file"), row.alias("row"), plain(docs, "doc_id", "bigint").alias("doc_id"), plain(docs, "text", "string").alias("text"))
-    signed, _ = written(placed.mapInArrow(_signed(k, size), "file bigint, row bigint, doc_id bigint, node bigint, sig binary"), "signed")
-    edges, path = written(similar(signed, k, rows, threshold), "near-edges")
+    signed, _ = written(in_arrow(placed, _signed(k, size), "file bigint, row bigint, doc_id bigint, node bigint, sig binary"), "signed")
+    # copies meet here, before anything else is made of them
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")
+    nodes, _ = written(signed.groupBy("node").agg(F.first("sig").alias("sig"), F.count("*").alias("n"), F.min(order).alias("first")), "near-nodes")
+    edges, path = written(similar(nodes, k, rows, threshold, block), "near-edges")
     groups = components(edges)
     drop(docs.sparkSession, path)
-    return signed.select("file", "row", "doc_id", "node"), groups
+    return signed.select("file", "row", "doc_id", "node"), nodes.select("node", "n", "first"), groups
 
 
 def near_dedup(docs: DataFrame, **how) -> DataFrame:
@@ -304,14 +333,15 @@ def near_dedup(docs: DataFrame, **how) -> DataFrame:
     Near-duplicates: weighted word-shingle sets (case of ASCII letters and punctuation left out) whose signatures
     agree in ``threshold`` of their coordinates; groups are the connected components. The row with the least doc_id
     stays (a null doc_id comes last; of rows equal in doc_id the one that lies first stays). Rows whose text is null,
-    empty or has no word all stay: nothing can be said about them. Any further columns, whatever their names, pass
-    through. An empty table gives an empty table. What isn't just a scan of Parquet files is written as such first.
+    empty or has no word all stay: nothing can be said about them. A very long text is read to its end and compared
+    like others. Any further columns, whatever their names, pass through. An empty table gives an empty table. What
+    isn't just a scan of Parquet files is written as such first.
     """
     docs = located(docs, "near-inbox")
-    signed, groups = near_groups(docs, **how)
-    # rows of a signature that is alone have nothing to fear, so only those with company are ordered
-    alone = signed.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node", F.col("node").alias("own"))
-    roots = groups.select("node", "root").join(alone, "node", "full").select("node", F.coalesce("root", "own").alias("root"))
-    order = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "file", "row")
-    ranked = signed.join(roots, "node").withColumn("place", F.row_number().over(order))
-    return without(docs, ranked.where("place > 1").select("file", "row"), "near-dropped")
+    signed, nodes, groups = near_groups(docs, **how)
+    # first rows come together by signature, then by group; rows that have no company aren't looked at again
+    known, _ = written(nodes.join(groups, "node", "left").select("node", "n", "first", F.coalesce("root", "node").alias("root")), "near-known")
+    best = known.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("rows"), F.count("*").alias("n")).where("rows > 1").drop("rows")
+    company = matched(known.select("node", "root", F.col("n").alias("own")), best, "root").select("node", F.col("own").alias("n"), "best")
+    doomed = matched(signed.select("file", "row", "node"), written(company, "near-company")[0], "node")
+    return without(docs, doomed.where("not (file = best.file and row = best.row)").select("file", "row"), "near-dropped")

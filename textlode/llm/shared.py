@@ -80,6 +80,25 @@ def plain(df: DataFrame, name: str, kind: str) -> Column:
     return df[f"`{name}`"].cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
+#: Keys with very many rows: those of at least so many rows, and of one in MOST_HOT of all, so fewer than that.
+HOT, MOST_HOT = 100_000, 20_000
+
+
+def matched(rows: DataFrame, facts: DataFrame, key: str, hot: int = HOT) -> DataFrame:
+    """``rows`` joined with ``facts``, which has one row a key and says in ``n`` how many of ``rows`` have it.
+
+    Keys with very many rows are joined by broadcast, so that their rows needn't meet in a task; by what they count
+    they are fewer than MOST_HOT. ``n`` goes.
+    """
+    total, most = facts.agg(F.sum("n"), F.max("n")).first()
+    least = max(hot, (total or 0) // MOST_HOT)
+    if (most or 0) <= least:
+        return rows.join(facts.drop("n"), key)
+    many = facts.where(F.col("n") > least).drop("n")
+    few = rows.join(F.broadcast(many.select(key)), key, "left_anti").join(facts.where(F.col("n") <= least).drop("n"), key)
+    return few.unionByName(rows.join(F.broadcast(many), key))
+
+
 def _fileformat(docs: DataFrame) -> str | None:
     """The file format that ``docs`` is a bare scan of."""
     plan = docs._jdf.queryExecution().analyzed()
