@@ -1,6 +1,8 @@
+import random
 from urllib.parse import unquote
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from textlode.llm import exact_dedup as ed
@@ -67,6 +69,49 @@ def test_state_outlives_the_stream(spark, tmp_path):
     assert table(ed.survivors(spark, source, out, schema), "doc_id") == [(2,), (5,), (6,)]
 
 
+def test_other_bits_than_the_state_has_are_refused(spark, tmp_path):
+    source, out = f"{tmp_path}/in", scratch_path(spark, "test-stream")
+    spark.createDataFrame([(1, "a", "en", "s", 1)], SCHEMA).coalesce(1).write.parquet(source)
+    schema = spark.read.parquet(source).schema
+    ed.dedup_stream(spark, source, out, schema, bits=1)
+    spark.createDataFrame([(2, "a", "en", "s", 1)], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    with pytest.raises(ValueError, match="keyed"):
+        ed.dedup_stream(spark, source, out, schema, bits=3)
+    # without a word about bits the state's own hold, here through the function that users call
+    assert table(ed.exact_dedup(source=source, spark=spark, out=out), "doc_id") == [(1,)]
+
+
+def test_a_text_that_most_rows_have(spark):
+    rows = spark.range(100_000).selectExpr("id as doc_id", "if(id % 20 = 7, concat('other ', id % 1000), 'the same text') as text")
+    got = ed.exact_dedup(rows.repartition(6))
+    want = {"the same text": 0} | {f"other {i}": i for i in range(1000) if i % 20 == 7}
+    assert {r.text: r.doc_id for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_reduction_within_a_task():
+    """What stays and what goes, over batches of any cut: the first of each text in a batch stays, copies of it go."""
+    rng = random.Random(5)
+    texts = [rng.choice([b"hot", b"hot", b"warm", b"x%d" % rng.randrange(30), b"long" * 20_000]) for _ in range(400)]
+    ids = [rng.choice([None, *range(50)]) for _ in texts]
+    for size in (400, 37, 1):
+        batches = []
+        for at in range(0, 400, size):
+            own = slice(at, at + size)
+            batches.append(pa.RecordBatch.from_arrays([pa.array([t[:1] for t in texts[own]]), pa.array(["f"] * len(texts[own])), pa.array(range(at, at + len(texts[own])), pa.int64()), pa.array(ids[own], pa.int64()), pa.array(texts[own])], ["digest", "file", "row", "doc_id", "text"]))
+        stay, gone = set(), set()
+        for b in ed._reduced(iter(batches)):
+            for r in b.to_pylist():
+                stay |= {r["row"]} if r["digest"] else set()
+                gone |= set(r["gone"] or [])
+        assert not stay & gone and stay | gone == set(range(400))
+        rank = lambda i: (ids[i] is None, ids[i] or 0, i)
+        for text in set(texts):
+            own = [i for i, t in enumerate(texts) if t == text]
+            assert min(own, key=rank) in stay
+        if size > 1:
+            assert len([i for i in stay if texts[i] == b"hot"]) < 20
+
+
 def test_a_scan_is_streamed_where_it_lies(spark, tmp_path):
     rows = [(i, f"text {i % 5}", "en", "s", None) for i in range(40)]
     plain = f"{tmp_path}/a b"
