@@ -1,10 +1,13 @@
+import random
 from collections import Counter
 
 import numpy as np
+import pytest
+import zstandard
 
 from textlode.llm import language_id as li
 
-from .cases import SCHEMA, awkward, awkward_rows, empty, labels, table
+from .cases import SCHEMA, awkward, awkward_rows, empty, labels, prose, table
 
 SF = "/root/testdata/sf0.1"
 BASE = {"en": "the quick brown fox jumps over the lazy dog and then it rests in the shade of the tree ", "de": "der schnelle braune Fuchs springt über den faulen Hund und ruht sich dann im Schatten aus "}
@@ -71,5 +74,48 @@ def test_every_text_of_the_sample_gives_a_piece(spark):
     own = labels(spark, [(r[0], 1, 0) for r in rows])
     made = [li.dictionaries(spark.createDataFrame(x, SCHEMA), own)["en"] for x in (rows, rows[::-1])]
     assert made[0] == made[1] and len(made[0]) <= li.DICTIONARY
+    again = li.dictionaries(spark.createDataFrame(rows, SCHEMA).repartition(7), own.repartition(5))["en"]
+    assert again == made[0]
     assert all(f"start{i:03d}".encode() in made[0] or f"end{i:03d}".encode() in made[0] for i in range(300))
     assert 60 < sum(f"end{i:03d}".encode() in made[0] for i in range(300)) < 240
+
+
+def spark_hash(spark, ids):
+    return {r.i: r.h for r in spark.createDataFrame([(i,) for i in ids], "i bigint").selectExpr("i", "xxhash64(i) as h").collect()}
+
+
+def test_against_a_plain_loop(spark):
+    """Dictionaries cut by hand, every text compressed in parts by hand at one level or both, margins by hand."""
+    rng = random.Random(9)
+    vocabulary = {lang: [f"{lang}{rng.randrange(99)}ü" for _ in range(60)] for lang in ("aa", "bb", "cc")}
+    rows = [(i, prose(rng, rng.randrange(0, 400), vocabulary[lang] + vocabulary["aa"][:20]), lang, "s", 1) for i in range(150) for lang in [rng.choice(list(vocabulary))]]
+    good = [r[0] for r in rows if r[0] % 3]
+    hashed = spark_hash(spark, good)
+    contents = {}
+    for lang in sorted(vocabulary):
+        own = sorted([r for r in rows if r[2] == lang and r[0] in hashed and r[1]], key=lambda r: (hashed[r[0]], r[0]))[:20]
+        each = max(li.PIECE, 3000 // len(own) - 1)
+        cuts = [int(i * li.GOLDEN % 1 * (max(0, len(r[1]) - each) + 1)) for i, r in enumerate(own)]
+        contents[lang] = "\n".join(r[1][at : at + each] for r, at in zip(own, cuts)).encode()
+    docs, own = spark.createDataFrame(rows, SCHEMA).repartition(6), labels(spark, [(i, 1, 0) for i in good])
+    assert li.dictionaries(docs, own, rows=20, size=3000) == contents
+
+    def size(text, content, level):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        packer = zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False)
+        return sum(len(packer.compress(text[i : i + li.CHUNK])) for i in range(0, len(text), li.CHUNK))
+
+    got = {r.doc_id: (r.language, r.margin) for r in li.language_id(docs, own, rows=20, size=3000).collect()}
+    levels = Counter()
+    for doc_id, text, *_ in rows:
+        if not text:
+            assert got[doc_id] == (None, None)
+            continue
+        for level in li.LEVELS:
+            (best, lang), (near, _) = sorted((size(text.encode(), c, level), lang) for lang, c in contents.items())[:2]
+            levels[level] += 1
+            if near - best >= li.SURE * near:
+                break
+        margin = (near - best) / near
+        assert got[doc_id] == (lang if margin >= li.MARGIN else None, pytest.approx(margin))
+    assert 0 < levels[li.LEVELS[1]] < levels[li.LEVELS[0]]

@@ -3,10 +3,11 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 import corpus_pipeline
-from textlode.llm import kneser_ney, quality_rules
+from textlode.llm import kneser_ney, packing, quality_rules
 from textlode.llm.queries import QUERIES
 from textlode.llm.shared import written
 
@@ -30,8 +31,7 @@ def test_stages(spark):
             assert sorted(((r.doc_id, r.text) for r in after), key=repr) == brute([tuple(r) for r in before])
         assert after
         before = after
-    packed = corpus_pipeline.run(spark, SF).collect()
-    check([tuple(r) for r in before], packed, 8192)
+    check([tuple(r) for r in before], corpus_pipeline.run(spark, SF).collect(), packing.WINDOW)
 
 
 def test_filters_depend_on_their_own_rows_only(spark):
@@ -61,11 +61,11 @@ def test_empty_documents(spark, tmp_path):
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query_runs_on_all_rows(spark, name):
     got = QUERIES[name](spark, SF)
-    ids = {r.doc_id for r in got.select("doc_id").collect()}
+    ids = {r.doc_id for r in got.select("doc_id" if "doc_id" in got.columns else F.explode("doc_ids").alias("doc_id")).collect()}
     every = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert ids <= every and len(ids) > 0.5 * len(every)
 
 
 def test_registered():
     assert set(QUERIES) | {"pipeline"} <= set(driver.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))

@@ -61,9 +61,12 @@ def test_empty_table(spark):
     assert sharding.shards(empty(spark)).collect() == []
 
 
-def test_query_equals_sql(spark):
-    got = QUERIES["op10_sharding"](spark, "/root/testdata/sf0.01")
+@pytest.mark.parametrize("name", ["op10_sharding", "fine_shards"])
+def test_query_equals_sql(spark, name):
+    got = QUERIES[name](spark, "/root/testdata/sf0.01")
     con = duckdb.connect()
     con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
-    want = con.sql(ORACLES["op10_sharding"])
+    want = con.sql(ORACLES[name])
     assert table(got, *want.columns) == sorted(want.fetchall(), key=repr)
+    if name == "fine_shards":
+        assert len({r.shard for r in got.collect()}) > 20 and len({r.depth for r in got.collect()}) > 1

@@ -13,15 +13,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_bytes, plain, stored_bytes, written
+from .shared import by_bytes, in_arrow, plain, stored_bytes, written
 from .words import INKED, SAME, U, mix, raw, words
 
 #: Counts are kept as levels, 1 + floor(log_BASE(count)); bits of filter for each (n-gram, level), hashes of each.
 BASE, BITS, HASHES = 1.5, 8, 5
 #: Weight of the unigram estimate, in occurrences of the word before; share of it that unknown words get.
 ALPHA, UNSEEN = 40.0, 0.05
-#: Text of one shard of the filter; grams that a task gathers before it hands them on; text that it looks at together.
-SHARD_BYTES, GATHERED, AT_ONCE = 8 << 20, 1_000_000, 1 << 20
+#: Text of one shard of the filter; grams that a task gathers before it hands them on; text that it looks at together,
+#: and text whose grams it asks for together where the filter isn't broadcast.
+SHARD_BYTES, GATHERED, AT_ONCE, ASKED_AT_ONCE = 8 << 20, 1_000_000, 1 << 20, 4 << 20
+#: Shards beyond which they grow instead of becoming more, and how large they may grow.
+SHARDS, LARGEST_SHARD = 4096, 128 << 20
 #: Bytes of filter that may be broadcast; a larger one is probed where its shards lie.
 BROADCAST = 192 << 20
 
@@ -226,7 +229,7 @@ _ASKED = "chunk string, shard int, place int, keys binary, ids array<bigint>, do
 def _asked(shards: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each chunk of texts: its shape, as places among its distinct keys, and those keys by shard."""
     task = TaskContext.get()
-    for number, batch in enumerate(by_bytes(batches, "text", AT_ONCE)):
+    for number, batch in enumerate(by_bytes(batches, "text", ASKED_AT_ONCE)):
         g = grams(batch.column("text"))
         keys, back = np.unique(np.concatenate([g.one, g.two, _START]), return_inverse=True)
         back = back.astype(np.uint32)
@@ -247,16 +250,21 @@ def _asked(shards: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shard, each shard's filter first: levels of the keys asked for."""
+    """Rows sorted by shard, each shard's filter first: levels of the keys asked for, those of a shard all at once."""
     shard, f = None, None
     for batch in batches:
-        for s, size, chunk, place, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "size", "chunk", "place", "data"))):
-            if size is not None:
-                shard, f = s, side_by_side([size], [data])
+        own = batch.column("shard").to_numpy()
+        heads = batch.column("size").is_valid().to_numpy(zero_copy_only=False)
+        cuts = np.append(np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | heads[1:] | heads[:-1])[: len(own)]), len(own))
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if heads[i]:
+                shard, f = own[i], side_by_side([batch.column("size")[i].as_py()], [batch.column("data")[i].as_py()])
                 continue
-            keys = np.frombuffer(data, U)
-            levels = probe(f, keys) if s == shard else np.zeros(len(keys), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([s], pa.int32()), pa.array([place], pa.int32()), pa.array([levels.astype(np.uint8).tobytes()], pa.binary())], ["chunk", "shard", "place", "keys"])
+            data, at = raw(batch.column("data").slice(i, j - i))
+            keys = data.view(U)
+            levels = probe(f, keys) if own[i] == shard else np.zeros(len(keys), np.int64)
+            packed = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((at // 8).astype(np.int32)), pa.py_buffer(levels.astype(np.uint8))])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("chunk", "shard", "place")), packed], ["chunk", "shard", "place", "keys"])
 
 
 def _assembled(scores: Scores, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,15 +305,17 @@ def lm_scores(docs: DataFrame, limit: int = BROADCAST) -> DataFrame:
     and each shard becomes a log-frequency Bloom filter: a count is found, up to its level, by probing for (key, 1),
     (key, 2), ... until one fails. P(w | v) = (c(v w) + ALPHA P(w)) / (c(v) + ALPHA), with P(w) smoothed by unseen
     words. A filter of up to ``limit`` bytes is broadcast; of a larger one, each task holds one shard at a time and
-    the probes travel, with the same results. A null, empty or wordless text has n_words 0, log_prob 0 and a null
+    the probes travel, with the same results: rows of keys by text chunk and shard, whose number is in proportion to
+    the text as long as there are SHARDS shards, up to 0.5 TB; beyond that shards become more, and rows shorter. A very
+    long text is read to its end and is a chunk of its own. A null, empty or wordless text has n_words 0, log_prob 0 and a null
     perplexity; a null doc_id and repeated rows pass through, one row each; further columns are ignored; an empty
     table gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(plain(docs, "doc_id", "bigint").alias("doc_id"), plain(docs, "text", "string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
-    counts = rows.select("text").mapInArrow(partial(_count, shards), "shard int, keys binary, counts binary")
+    shards = max(1, min(-(-total // SHARD_BYTES), max(SHARDS, -(-total // LARGEST_SHARD))))
+    counts = in_arrow(rows.select("text"), partial(_count, shards), "shard int, keys binary, counts binary")
     made = counts.groupBy("shard").applyInArrow(_build, "shard int, size bigint, data binary, words bigint, kinds bigint")
     filters, path = written(made, "filter")
     sums = filters.agg(F.sum("words"), F.sum("kinds")).first()
@@ -317,12 +327,12 @@ def lm_scores(docs: DataFrame, limit: int = BROADCAST) -> DataFrame:
             data += r["data"]
         blob = spark.sparkContext.broadcast(((sizes, starts), bytes(data)))
         del data
-        return rows.mapInArrow(partial(_scored, blob, int(shards), scores), _RESULT)
-    asked, _ = written(rows.mapInArrow(partial(_asked, int(shards)), _ASKED), "asked")
+        return in_arrow(rows, partial(_scored, blob, int(shards), scores), _RESULT)
+    asked, _ = written(in_arrow(rows, partial(_asked, int(shards)), _ASKED), "asked")
     none = F.lit(None)
     probes = asked.where("shard >= 0").select("shard", none.cast("bigint").alias("size"), "chunk", "place", F.col("keys").alias("data"))
     heads = filters.select("shard", "size", none.cast("string").alias("chunk"), none.cast("int").alias("place"), "data")
     routed = heads.unionByName(probes).repartition(int(shards), "shard").sortWithinPartitions("shard", F.col("size").desc_nulls_last())
-    answers = routed.mapInArrow(_answered, "chunk string, shard int, place int, keys binary")
+    answers = in_arrow(routed, _answered, "chunk string, shard int, place int, keys binary")
     whole = asked.where("shard < 0").unionByName(answers, allowMissingColumns=True)
-    return whole.repartition("chunk").sortWithinPartitions("chunk", "shard").mapInArrow(partial(_assembled, scores), _RESULT)
+    return in_arrow(whole.repartition("chunk").sortWithinPartitions("chunk", "shard"), partial(_assembled, scores), _RESULT)

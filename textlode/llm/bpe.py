@@ -15,7 +15,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .shared import by_bytes, plain
+from .shared import by_bytes, in_arrow, plain
 from .words import SAME, HashIndex, U, raw, words
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -257,8 +257,8 @@ def bpe(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded): each text's byte-level BPE ids and the text decoded from them.
 
     Ids equal those of encoding the whole text at once. A null text gives nulls, an empty one no ids and an empty
-    text; a null doc_id and repeated rows pass through, one row each; further columns are ignored; an empty table
-    gives an empty result. The work is one pass over the texts without an exchange.
+    text; a null doc_id and repeated rows pass through, one row each; a very long text is encoded as a whole, by
+    the tree where it has long unsplit pieces; further columns are ignored; an empty table gives an empty result. The work is one pass over the texts without an exchange.
     """
     rows = docs.select(plain(docs, "doc_id", "bigint").alias("doc_id"), plain(docs, "text", "string").alias("text"))
-    return rows.mapInArrow(partial(_tokens, vocabulary(docs, path)), "doc_id bigint, n_tokens int, ids array<int>, decoded string")
+    return in_arrow(rows, partial(_tokens, vocabulary(docs, path)), "doc_id bigint, n_tokens int, ids array<int>, decoded string")

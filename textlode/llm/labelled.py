@@ -15,14 +15,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, by_language:
     """(doc_id, text, lang, quality) of at most ``rows`` labelled documents, the first in order of a hash of doc_id;
     with ``by_language`` of as many of each language, those without one left out.
 
-    A doc_id labelled more than once counts with its lowest quality; null ids and labels don't count. A document that
-    occurs more than once comes as often. Which documents are chosen doesn't depend on the order of rows.
+    A doc_id labelled more than once counts with its lowest quality; null ids and labels don't count. Of rows that
+    share a doc_id, or with ``by_language`` both that and the language, the least text is taken, so that no document
+    comes more often. Which ones are chosen doesn't depend on the order of rows.
     """
     ids = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     own = docs.select(plain(docs, "doc_id", "bigint").alias("doc_id"), plain(docs, "text", "string").alias("text"), plain(docs, "lang", "string").alias("lang"))
     if not by_language:
-        return own.join(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "doc_id")
+        chosen = own.join(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "doc_id")
+        return chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("lang").alias("lang"), F.min("quality").alias("quality"))
     known = own.select("doc_id", "lang").where("lang IS NOT NULL").distinct().join(ids, "doc_id").withColumn("hash", F.xxhash64("doc_id"))
     for by in (["lang", F.pmod("hash", F.lit(SALTS))], ["lang"]):  # the first of each salt hold the first of all
         known = known.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("hash", "doc_id"))).where(F.col("place") <= rows)
-    return own.join(known.select("doc_id", "lang", "quality"), ["doc_id", "lang"]).select("doc_id", "text", "lang", "quality")
+    chosen = own.join(known.select("doc_id", "lang", "quality"), ["doc_id", "lang"])
+    return chosen.groupBy("doc_id", "lang").agg(F.min("text").alias("text"), F.min("quality").alias("quality")).select("doc_id", "text", "lang", "quality")

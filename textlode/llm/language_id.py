@@ -8,37 +8,39 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .labelled import labelled_sample
-from .shared import by_bytes, plain
+from .shared import by_bytes, in_arrow, plain
 
-#: Labelled rows looked at, bytes of dictionary for each language, least bytes of a text in it, bytes compressed at once.
-ROWS, DICTIONARY, PIECE, CHUNK = 4000, 64 << 10, 64, 4096
+#: Labelled rows of a language looked at, characters of dictionary for each language, least characters of a text in it,
+#: bytes compressed at once.
+ROWS, DICTIONARY, PIECE, CHUNK = 1024, 64 << 10, 64, 4096
 #: Compression levels; a text whose margin at the first is below SURE is looked at again at the second.
 LEVELS, SURE = (1, 12), 0.06
 #: The best must be smaller than the next by this share of it, or the text is rejected.
 MARGIN = 0.01
+GOLDEN = 0.6180339887498949
 
 _PACKERS: dict[int, list[zstd.ZstdCompressor]] = {}
 
 
 def dictionaries(docs: DataFrame, labels: DataFrame, rows: int = ROWS, size: int = DICTIONARY) -> dict[str, bytes]:
     """Raw dictionary content for each language: a piece of each of its texts among ``rows`` labelled good ones, in
-    order of hash, as many bytes of each as share ``size`` evenly, from places spread over whole texts. Of more texts
-    than ``size`` has room for at PIECE bytes, the first by hash. Languages without such a text have none."""
-    sample = labelled_sample(docs, labels.where("quality = 1"), rows).where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    sample = sample.select("lang", "text", F.xxhash64("doc_id").alias("hash"), "doc_id").orderBy("hash", "doc_id", "text").toPandas()
-    out = {}
-    for lang, texts in sorted(sample.groupby("lang")["text"]):
-        each = max(PIECE, size // len(texts) - 1)  # and a line feed
-        pieces = []
-        for i, text in enumerate(t.encode() for t in texts):
-            at = int(i * 0.6180339887498949 % 1 * (max(0, len(text) - each) + 1))
-            pieces.append(text[at : at + each])
-        out[lang] = b"\n".join(pieces)[:size]
-    return out
+    order of a hash of doc_id, as many characters of each as share ``size`` evenly, but PIECE at least, from places
+    spread over whole texts. Pieces are cut where the texts lie, so the driver gets ``size`` characters or ``rows``
+    times PIECE a language, and the order of rows doesn't matter. Languages without such a text have none."""
+    sample = labelled_sample(docs, labels.where("quality = 1"), rows, by_language=True).where("text <> ''")
+    own = Window.partitionBy("lang")  # of rows documents at most
+    sample = sample.withColumn("i", F.row_number().over(own.orderBy(F.xxhash64("doc_id"), "doc_id")) - 1)
+    each = F.greatest(F.lit(PIECE), F.floor(F.lit(size) / F.count("*").over(own)) - 1)  # and a line feed
+    sample = sample.withColumn("each", each.cast("int")).withColumn("spare", F.greatest(F.lit(0), F.length("text") - F.col("each")))
+    at = F.floor((F.col("i") * GOLDEN) % 1 * (F.col("spare") + 1)).cast("int")
+    out: dict[str, list[tuple[int, str]]] = {}
+    for r in sample.select("lang", "i", F.substring("text", at + 1, F.col("each")).alias("piece")).collect():
+        out.setdefault(r["lang"], []).append((r["i"], r["piece"]))
+    return {lang: "\n".join(piece for _, piece in sorted(out[lang])).encode() for lang in sorted(out)}
 
 
 def _packers(contents: list[bytes], level: int) -> list[zstd.ZstdCompressor]:
@@ -92,12 +94,12 @@ def language_id(docs: DataFrame, labels: DataFrame, margin: float = MARGIN, **ho
 
     The language is that of the raw-content zstd dictionary under which the whole text takes the fewest bytes, margin
     by what share of the next it is smaller. language is null - rejected - if the margin is below ``margin``, and both
-    are null for a null or empty text or if no language has a labelled text; equal sizes are a margin of 0. Language
-    names come from the labelled rows' lang column only, never from the row's own. A null doc_id and repeated rows
-    pass through; further columns are ignored; an empty table gives an empty result. One pass, no exchange; the
-    dictionaries are of fixed size.
+    are null for a null or empty text or if no language has a labelled text; equal sizes are a margin of 0. A very long
+    text counts to its end. Language names come from the labelled rows' lang column only, never from the row's own. A
+    null doc_id and repeated rows pass through; further columns are ignored; an empty table gives an empty result. One
+    pass, no exchange; the dictionaries are of fixed size.
     """
     known = dictionaries(docs, labels, **how)
     rows = docs.select(plain(docs, "doc_id", "bigint").alias("doc_id"), plain(docs, "text", "string").alias("text"))
     run = partial(_identified, list(known), list(known.values()), margin)
-    return rows.mapInArrow(run, "doc_id bigint, language string, margin double")
+    return in_arrow(rows, run, "doc_id bigint, language string, margin double")

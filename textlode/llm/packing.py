@@ -1,103 +1,167 @@
-"""Packing of documents into windows, online and with bounded space."""
+"""Packing of documents' token ids into windows, online and with bounded space."""
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import partial
+from itertools import chain
+from typing import NamedTuple
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import plain, written
-
-WINDOW, OPEN, PER_PARTITION = 8192, 64, 50_000
-PLACED = "window bigint, at int, item bigint, open boolean, fill int"
-
-
-def _packer(window: int, keep: int, round_: int):
-    """Packs (item, length) as they come; windows still open at the end are marked."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base = (round_ << 56) | (TaskContext.get().partitionId() << 28)
-        room: list[tuple[int, int]] = []  # (free, window), least free first
-        held: dict[int, list[tuple[int, int]]] = {}
-        out: list[tuple[int, int, int, bool, int]] = []
-        number = 0
-
-        def emit(name: int, free: int, open_: bool) -> None:
-            out.extend((base + name, at, item, open_, window - free) for at, item in held.pop(name))
-
-        for part in parts:
-            for item, length in zip(part["item"].tolist(), part["length"].tolist()):
-                i = bisect_left(room, (length, -1))
-                if i < len(room):
-                    free, name = room.pop(i)
-                else:
-                    if len(room) >= keep:
-                        full, fullest = room.pop(0)
-                        emit(fullest, full, False)
-                    free, name = window, number
-                    number += 1
-                    held[name] = []
-                held[name].append((window - free, item))
-                free -= length
-                if free:
-                    insort(room, (free, name))
-                else:
-                    emit(name, 0, False)
-            if out:
-                yield pd.DataFrame(out, columns=["window", "at", "item", "open", "fill"])
-                out = []
-        for free, name in room:
-            emit(name, free, True)
-        if out:
-            yield pd.DataFrame(out, columns=["window", "at", "item", "open", "fill"])
-
-    return run
-
-
-def pack(docs: DataFrame, window: int = WINDOW, keep: int = OPEN, per_partition: int = PER_PARTITION) -> DataFrame:
-    """(window, at, doc_id, start, length): which piece of which text lies at which place of which window.
-
-    Lengths are in characters (code points); each text counts one more for the separator after it. A text of the
-    window's length or more is cut: its full pieces are windows of their own, its remainder is packed. Remainders are
-    spread evenly by hash; each partition keeps at most ``keep`` windows open, puts a piece where it leaves the least
-    room, and if it fits nowhere emits the fullest window and opens another. What is open at the end is merged in
-    rounds, the fullest first, by the same rule, until one partition holds all leftovers. Only ids and lengths move;
-    texts don't. Rows with a null or empty text have nothing to pack and are left out; a null doc_id and repeated rows
-    are packed like others; further columns are ignored; an empty table gives an empty result.
-    """
-    text = plain(docs, "text", "string")
-    sized = docs.select(plain(docs, "doc_id", "bigint").alias("doc_id"), F.length(text).cast("int").alias("n"), F.xxhash64(plain(docs, "doc_id", "bigint"), F.length(text)).alias("spread")).where("n > 0")
-    cut = F.expr(f"sequence(0, n div {window})")
-    pieces = sized.select("doc_id", "spread", "n", F.explode(cut).alias("k"))
-    pieces = pieces.select("doc_id", "spread", (F.col("k") * window).alias("start"), F.least(F.col("n") + 1 - F.col("k") * window, F.lit(window)).alias("length"))
-    pieces, _ = written(pieces.withColumn("item", F.monotonically_increasing_id()), "pieces")
-    rest = pieces.where(f"length < {window}")
-    tasks = -(-rest.count() // per_partition) or 1
-    full = pieces.where(f"length = {window}").select((F.lit(-1).cast("bigint") - F.col("item")).alias("window"), F.lit(0).alias("at"), "item")
-    order = ["spread", "item"]
-    items, round_ = rest.select("item", "length", "spread"), 0
-    names: DataFrame | None = None  # (window, to, base): where the leftover windows of earlier rounds lie now
-    while True:
-        laid = items.repartition(tasks, "spread").sortWithinPartitions(*order).select("item", "length")
-        placed, _ = written(laid.mapInPandas(_packer(window, keep, round_), PLACED), f"packed{round_}")
-        if names is None:
-            names = placed.select("item", "window", "at", "open")
+from .bpe import VOCABULARY, codec, vocabulary
+from .shared import by_bytes, in_arrow, plain, written
+
+#: Token ids of a window, open windows of a task, leftover windows that a task merges, the id after each text: the one
+#: beyond the vocabulary's own.
+WINDOW, OPEN, LEFTOVERS, SEPARATOR = 8192, 64, 4096, 50_256
+#: Token ids in a batch that goes back.
+AT_ONCE = 1 << 20
+PACKED = "window bigint, fill int, doc_ids array<bigint>, starts array<int>, lengths array<int>, ids array<int>, open boolean"
+NAMES = ["window", "fill", "doc_ids", "starts", "lengths", "ids", "open"]
+
+
+class Piece(NamedTuple):
+    """What is placed as a whole: stretches of texts and their ids."""
+
+    doc_ids: list[int | None]
+    starts: list[int]
+    lengths: list[int]
+    ids: list[np.ndarray]
+    size: int
+
+
+class Packer:
+    """At most ``keep`` open windows. A piece goes where it leaves the least room; if it fits nowhere and no more may be
+    open, the fullest window is emitted and a new one opened. A full window is emitted at once."""
+
+    def __init__(self, window: int, keep: int):
+        self.window, self.keep = window, keep
+        self.room: list[tuple[int, int]] = []  # (free, window), least free first
+        self.held: dict[int, list[Piece]] = {}
+        self.number = 0
+        self.done: list[tuple[int, list[Piece], bool]] = []
+
+    def _emit(self, name: int, open_: bool = False) -> None:
+        self.done.append((name, self.held.pop(name), open_))
+
+    def add(self, piece: Piece) -> None:
+        i = bisect_left(self.room, (piece.size, -1))
+        if i < len(self.room):
+            free, name = self.room.pop(i)
         else:
-            moved = placed.select(F.col("item").alias("window"), F.col("window").alias("to"), F.col("at").alias("base"), F.col("open").alias("left"))
-            names, _ = written(
-                names.join(moved, "window", "left").select("item", F.coalesce("to", "window").alias("window"), (F.col("at") + F.coalesce("base", F.lit(0))).cast("int").alias("at"), F.when(F.col("to").isNotNull(), F.col("left")).otherwise(False).alias("open")),
-                "names",
-            )
-        if round_ and tasks == 1:
-            break
-        left = placed.where("open").select(F.col("window").alias("item"), F.col("fill").alias("length")).distinct()
-        left, _ = written(left, f"left{round_}")
-        tasks = -(-left.count() // per_partition) or 1
-        items = left.withColumn("spread", F.xxhash64("item") if tasks > 1 else F.lit(0).cast("bigint"))
-        order, round_ = [F.col("length").desc(), "item"], round_ + 1
-    whole = names.select("window", "at", "item").unionByName(full)
-    return whole.join(pieces, "item").select("window", "at", "doc_id", F.col("start").cast("int").alias("start"), F.col("length").cast("int").alias("length"))
+            if len(self.room) >= self.keep and piece.size < self.window:
+                self._emit(self.room.pop(0)[1])
+            free, name = self.window, self.number
+            self.number += 1
+            self.held[name] = []
+        self.held[name].append(piece)
+        free -= piece.size
+        if free:
+            insort(self.room, (free, name))
+        else:
+            self._emit(name)
+
+    def close(self) -> None:
+        for _, name in self.room:
+            self._emit(name, True)
+        self.room = []
+
+    def taken(self) -> list[tuple[int, list[Piece], bool]]:
+        out, self.done = self.done, []
+        return out
+
+
+def _batches(packer: Packer, pieces: Iterator[Piece], base: int) -> Iterator[pa.RecordBatch]:
+    """Windows as they are emitted, some AT_ONCE ids together."""
+    held: list[tuple[int, list[Piece], bool]] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        rows = [(base + name, Piece(*(list(chain.from_iterable(getattr(p, c) for p in own)) for c in Piece._fields[:4]), sum(p.size for p in own)), open_) for name, own, open_ in held]
+        held.clear()
+        lists = [pa.array([getattr(p, c) for _, p, _ in rows], pa.list_(kind)) for c, kind in (("doc_ids", pa.int64()), ("starts", pa.int32()), ("lengths", pa.int32()))]
+        at = np.append(0, np.cumsum([p.size for _, p, _ in rows])).astype(np.int32)
+        ids = np.concatenate([x for _, p, _ in rows for x in p.ids]).astype(np.int32)
+        columns = [pa.array([name for name, _, _ in rows], pa.int64()), pa.array(np.diff(at)), *lists, pa.ListArray.from_arrays(pa.array(at), pa.array(ids)), pa.array([open_ for _, _, open_ in rows])]
+        return pa.RecordBatch.from_arrays(columns, NAMES)
+
+    for piece in pieces:
+        packer.add(piece)
+        for window in packer.taken():
+            held.append(window)
+            size += sum(p.size for p in window[1])
+        if size >= AT_ONCE:
+            yield out()
+            size = 0
+    packer.close()
+    held += packer.taken()
+    if held:
+        yield out()
+
+
+def pieces_of(doc_id: int | None, ids: np.ndarray, window: int) -> Iterator[Piece]:
+    """A text's ids in pieces of ``window``, the last one shorter."""
+    for at in range(0, len(ids), window):
+        part = ids[at : at + window]
+        yield Piece([doc_id], [at], [len(part)], [part], len(part))
+
+
+def _texts(blob, window: int, keep: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own = codec(blob.value)
+
+    def pieces() -> Iterator[Piece]:
+        for batch in by_bytes(batches, "text", 1 << 20):
+            ids, at = own.encode_many(batch.column("text"))
+            for doc_id, i, j in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                if i < j:
+                    yield from pieces_of(doc_id, np.append(ids[i:j], SEPARATOR).astype(np.int32), window)
+
+    yield from _batches(Packer(window, keep), pieces(), TaskContext.get().partitionId() << 28)
+
+
+def _leftovers(window: int, keep: int, round_: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces() -> Iterator[Piece]:
+        for batch in batches:
+            ids = batch.column("ids")
+            for k, (doc_ids, starts, lengths) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_ids", "starts", "lengths")))):
+                yield Piece(doc_ids, starts, lengths, [ids[k].values.to_numpy()], len(ids[k]))
+
+    yield from _batches(Packer(window, keep), pieces(), (round_ << 56) | (TaskContext.get().partitionId() << 28))
+
+
+def pack(docs: DataFrame, window: int = WINDOW, keep: int = OPEN, leftovers: int = LEFTOVERS, path: str = VOCABULARY) -> DataFrame:
+    """(window, fill, doc_ids, starts, lengths, ids): windows of at most ``window`` BPE token ids and what lies in them.
+
+    A text is its ids and one SEPARATOR. The i-th stretch of a window is the ``lengths``[i] ids of document
+    ``doc_ids``[i] from its id number ``starts``[i] on; the stretches' ids follow one another in ``ids``, ``fill`` in
+    all. A text of more than a window is cut: its full pieces are windows of their own, its remainder is packed. Each
+    task packs its texts as they come, by the rule of ``Packer`` with ``keep`` open windows. What is open at its end
+    is merged in rounds, the fullest first and ``leftovers`` windows to a task, by the same rule, until one task holds
+    all leftovers. So texts aren't exchanged; only leftovers are, at most ``keep`` windows of each task.
+
+    A null or empty text has nothing to pack and is left out; a very long one is cut as said; a null doc_id and
+    repeated rows are packed like others; of windows with the same room the older one is taken; further columns are
+    ignored; an empty table gives an empty result.
+    """
+    if keep < 1 or leftovers < 2 * keep:
+        raise ValueError("a merging task must take in twice the windows that it keeps open, so that rounds end")
+    rows = docs.select(plain(docs, "doc_id", "bigint").alias("doc_id"), plain(docs, "text", "string").alias("text"))
+    placed, _ = written(in_arrow(rows, partial(_texts, vocabulary(docs, path), window, keep), PACKED), "packed")
+    done, round_, tasks = [placed.where("not open")], 0, 2
+    while tasks > 1:
+        left = placed.where("open")
+        tasks, round_ = -(-left.count() // leftovers) or 1, round_ + 1
+        laid = left.repartition(tasks, F.xxhash64("window")) if tasks > 1 else left.repartition(1)
+        merged = in_arrow(laid.sortWithinPartitions(F.desc("fill"), "window"), partial(_leftovers, window, keep, round_), PACKED)
+        placed, _ = written(merged, f"packed{round_}")
+        done.append(placed if tasks == 1 else placed.where("not open"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.drop("open")

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bloom_lm, bpe, exact_dedup, kneser_ney, language_id, minhash, packing, quality_rules, sharding, token_output
 
+#: Bytes of a shard of fine_shards; the largest texts of the small tables have about half as many.
+FINE = 64 << 10
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,9 +56,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_table(spark, sf_dir, "documents"))
 
 
+def fine_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10_sharding with a limit that splits small tables into many uneven shards, so that SQL sees splits."""
+    return sharding.shards(_table(spark, sf_dir, "documents"), FINE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_lm_scoring, op3_packing, op4_bpe, op5_token_output, op6_quality_classifier, op7_language_id, op8_quality_rules, op9_near_dedup, op10_sharding)
+    for f in (op1_exact_dedup, op2_lm_scoring, op3_packing, op4_bpe, op5_token_output, op6_quality_classifier, op7_language_id, op8_quality_rules, op9_near_dedup, op10_sharding, fine_shards)
 }
 
 ORACLES: dict[str, str] = {
@@ -64,5 +72,6 @@ SELECT doc_id, text, lang, source, n_chars
 FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS place FROM documents)
 WHERE place = 1 OR text IS NULL
 """,
-    "op10_sharding": sharding.ORACLE,
+    "op10_sharding": sharding.oracle(),
+    "fine_shards": sharding.oracle(FINE),
 }

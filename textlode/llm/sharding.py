@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import plain, written
@@ -30,7 +30,7 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     length. Rows equal in doc_id and text can't be told apart by hash: if they exceed the limit together they are
     dealt out in order to parts 0, 1, ... of their shard; else part is 0. One text above the limit is alone in its
     shard or part. A null text has 0 bytes; a null doc_id is allowed; further columns are ignored; an empty table
-    gives an empty result. The directory is a table, never gathered on the driver; bytes are summed once for each
+    gives an empty result; a very long text counts with all its bytes. The directory is a table, never gathered on the driver; bytes are summed once for each
     prefix some bits longer than expected, and only rows of prefixes that are still too large are looked at again.
     """
     size = F.coalesce(F.octet_length(plain(docs, "text", "string")), F.lit(0)).cast("bigint")
@@ -52,10 +52,12 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         if depth == BITS or rest.isEmpty():
             break
         rows, floor, depth = rest, depth + 1, min(BITS, depth + 8)
-    # equal rows have equal sizes: so many to a part
+    # equal rows have equal sizes, so many to a part; they are counted and dealt out, not brought together
     each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("bytes", F.lit(1))))
-    place = F.row_number().over(Window.partitionBy("h", "doc_id", "bytes").orderBy("doc_id")) - 1
-    done.append(rest.withColumn("depth", F.lit(BITS)).withColumn("part", F.floor(place / each).cast("int")))
+    same = rest.groupBy("doc_id", "h", "bytes").agg(F.count("*").alias("n")).withColumn("each", each)
+    parts = same.select("*", F.explode(F.expr("sequence(0, (n - 1) div each)")).alias("part")).repartition("h", "doc_id", "part")
+    dealt = parts.select("doc_id", "h", "bytes", "part", F.explode(F.expr("sequence(1, least(each, n - part * each))")).alias("copy"))
+    done.append(dealt.select("doc_id", "h", "bytes", F.lit(BITS).alias("depth"), F.col("part").cast("int").alias("part")))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -63,9 +65,11 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     return out.select("doc_id", bits.alias("shard"), F.col("depth").cast("int").alias("depth"), F.col("part").cast("int").alias("part"), "bytes")
 
 
-ORACLE = f"""
+def oracle(limit: int = LIMIT) -> str:
+    """SQL for the rows of ``shards`` over documents whose ids differ, while 32 bits are enough."""
+    return f"""
 WITH sized AS (
-  SELECT doc_id, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, {BITS // 4}))::BIGINT AS h,
+  SELECT doc_id, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13))::BIGINT AS h,
          coalesce(octet_length(encode(text)), 0)::BIGINT AS bytes
   FROM documents
 ), levels AS (
@@ -73,7 +77,7 @@ WITH sized AS (
 ), summed AS (
   SELECT *, sum(bytes) OVER (PARTITION BY depth, prefix) AS held FROM levels
 ), fit AS (
-  SELECT doc_id, h, bytes, min(depth) AS depth FROM summed WHERE held <= {LIMIT} GROUP BY doc_id, h, bytes
+  SELECT doc_id, h, bytes, min(depth) AS depth FROM summed WHERE held <= {limit} GROUP BY doc_id, h, bytes
 )
 SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> ({BITS} - depth)), depth::INT, '0') END AS shard,
        depth::INT AS depth, 0::INT AS part, bytes

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import VOCABULARY, codec, vocabulary
-from .shared import by_bytes, plain
+from .shared import by_bytes, in_arrow, plain
 from .words import U
 
 BLOCK = 512
@@ -155,8 +155,8 @@ def token_output(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     ``decode`` gives the ids back. ``offsets`` says at which word each block of BLOCK ids begins, ``raws`` where its
     escaped ids (60 bits or more) lie as raw words, so any block is decoded by itself and all its words at once. A
-    null text gives nulls, an empty one no words; a null doc_id and repeated rows pass through, one row each; further
+    null text gives nulls, an empty one no words, a very long one as many blocks as it takes; a null doc_id and repeated rows pass through, one row each; further
     columns are ignored; an empty table gives an empty result. One pass, no exchange.
     """
     rows = docs.select(plain(docs, "doc_id", "bigint").alias("doc_id"), plain(docs, "text", "string").alias("text"))
-    return rows.mapInArrow(partial(_coded, vocabulary(docs, path)), "doc_id bigint, n_tokens int, words binary, offsets array<int>, raws array<int>")
+    return in_arrow(rows, partial(_coded, vocabulary(docs, path)), "doc_id bigint, n_tokens int, words binary, offsets array<int>, raws array<int>")
