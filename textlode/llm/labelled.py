@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import plain
+from .shared import plain, written
 
-#: Tasks that rank the labelled documents of one language before their best are ranked together.
-SALTS = 64
+#: Tasks that rank the labelled documents of one language before their best are ranked together; chosen ids that are
+#: broadcast at most.
+SALTS, BROADCAST = 64, 200_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, by_language: bool = False) -> DataFrame:
@@ -22,10 +23,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, by_language:
     ids = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     own = docs.select(plain(docs, "doc_id", "bigint").alias("doc_id"), plain(docs, "text", "string").alias("text"), plain(docs, "lang", "string").alias("lang"))
     if not by_language:
-        chosen = own.join(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "doc_id")
+        chosen = _with(own, ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), ["doc_id"])
         return chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("lang").alias("lang"), F.min("quality").alias("quality"))
     known = own.select("doc_id", "lang").where("lang IS NOT NULL").distinct().join(ids, "doc_id").withColumn("hash", F.xxhash64("doc_id"))
     for by in (["lang", F.pmod("hash", F.lit(SALTS))], ["lang"]):  # the first of each salt hold the first of all
         known = known.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("hash", "doc_id"))).where(F.col("place") <= rows)
-    chosen = own.join(known.select("doc_id", "lang", "quality"), ["doc_id", "lang"])
+    chosen = _with(own, known.select("doc_id", "lang", "quality"), ["doc_id", "lang"])
     return chosen.groupBy("doc_id", "lang").agg(F.min("text").alias("text"), F.min("quality").alias("quality")).select("doc_id", "text", "lang", "quality")
+
+
+def _with(own: DataFrame, chosen: DataFrame, by: list[str]) -> DataFrame:
+    """The texts of the chosen ids, which are counted first: texts are exchanged only if the ids are very many, as
+    those of a great many languages may be."""
+    chosen, _ = written(chosen, "chosen")
+    return own.join(F.broadcast(chosen) if chosen.count() <= BROADCAST else chosen, by)
