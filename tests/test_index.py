@@ -7,8 +7,8 @@ import pytest
 from textlode.facade import TextIndex
 from textlode.filters import DefaultFilter, FileFilter
 from textlode.index import InvertedIndex
-from textlode.operators.resolvers import FullScanResolver, StandardResolver, TrigramResolver
-from textlode.operators.search import by_document, scan_hits
+from textlode.operators.resolvers import FullScanResolver, RegexResolver, StandardResolver, TrigramResolver
+from textlode.operators.search import by_document, required_literal, scan_hits
 from textlode.operators.tokenizers import RegexTokenizer, TrigramTokenizer, WhitespaceTokenizer
 from textlode.sources.walk import read_folders, walk
 
@@ -45,6 +45,71 @@ def test_add_delete_update(spark, tmp_path):
     assert hits(index, StandardResolver(), "two") == [("p1", 0), ("p2", 0), ("p3", 4)]
 
 
+def test_what_is_out_of_use_goes(spark, tmp_path):
+    index = InvertedIndex(spark, f"file://{tmp_path}/i", WhitespaceTokenizer())
+    for i in range(3):
+        index.add(contents(spark, **{f"p{i}": "two"}))
+    index.compact()
+    kept = sorted(n for n in os.listdir(tmp_path / "i") if n.startswith("gen-"))
+    assert len(kept) == 4  # searches that have begun still find theirs
+    index.clean(grace=-1)
+    assert sorted(n for n in os.listdir(tmp_path / "i") if n.startswith("gen-")) == index.manifest().generations
+    assert hits(index, StandardResolver(), "two") == [("p0", 0), ("p1", 0), ("p2", 0)]
+    assert not any("unsorted" in files for _, files, _ in os.walk(tmp_path / "i"))
+
+
+def test_unknown_paths_are_warned_of(spark, tmp_path, caplog):
+    index = InvertedIndex(spark, f"file://{tmp_path}/i", WhitespaceTokenizer())
+    index.add(contents(spark, p="two"))
+    index.delete(spark.createDataFrame([("q",)], "path string"))
+    index.update(contents(spark, r="two", p="three"))
+    assert [r.message for r in caplog.records if "aren't indexed" in r.message] == ["1 paths that aren't indexed can't be deleted", "1 paths that aren't indexed can't be updated"]
+
+
+def test_of_repeated_paths_the_greatest_content_counts(spark, tmp_path):
+    rows = [("p", bytearray(b"a x")), ("p", bytearray(b"b x")), ("p", bytearray(b"a")), ("q", bytearray(b"x"))]
+    index = InvertedIndex(spark, f"file://{tmp_path}/i", WhitespaceTokenizer())
+    index.add_batch(spark.createDataFrame(rows, "path string, content binary").repartition(3))
+    assert hits(index, StandardResolver(), "x") == [("p", 2), ("q", 0)] and hits(index, StandardResolver(), "a") == []
+
+
+def test_searches_beside_a_writer(spark, tmp_path):
+    """Each search sees whole batches, whichever: ten documents of one batch number, or none of it."""
+    index, errors, done = InvertedIndex(spark, f"file://{tmp_path}/i", WhitespaceTokenizer()), [], threading.Event()
+    index.add_batch(contents(spark, **{f"p0-{k}": "word 0" for k in range(10)}))
+
+    def search():
+        try:
+            while not done.is_set():
+                seen = {}
+                for path, _ in hits(InvertedIndex(spark, f"file://{tmp_path}/i", WhitespaceTokenizer()), StandardResolver(), "word"):
+                    seen[path.split("-")[0]] = seen.get(path.split("-")[0], 0) + 1
+                assert seen and set(seen.values()) == {10}, seen
+        except BaseException as error:
+            errors.append(error)
+
+    threads = [threading.Thread(target=search) for _ in range(3)]
+    for t in threads:
+        t.start()
+    for i in range(1, 4):
+        index.add_batch(contents(spark, **{f"p{i}-{k}": f"word {i}" for k in range(10)}))
+    index.compact()
+    done.set()
+    for t in threads:
+        t.join(60)
+    assert not errors and len(hits(index, StandardResolver(), "word")) == 40
+
+
+def test_regular_expressions(spark, tmp_path):
+    index = InvertedIndex(spark, f"file://{tmp_path}/i", TrigramTokenizer())
+    index.add_batch(contents(spark, a="singing the song", b="sing", c="\U0001f600 ringing", d="none"))
+    for resolver in (RegexResolver(), RegexResolver(trigrams=True)):
+        assert hits(index, resolver, "[a-z]+ing") == [("a", 0), ("b", 0), ("c", 3)]
+        assert hits(index, resolver, "(ring|song)") == [("a", 12), ("c", 3)]
+    for pattern, literal in (("abc+d", "abc"), ("abc*d", "ab"), ("[xyz]abc.de", "abc"), ("a|bcd", ""), ("^hello$", "hello"), (r"\babc", ""), ("[]a]bcd?", "bc"), ("x??yz", "yz")):
+        assert required_literal(pattern) == literal, pattern
+
+
 def test_a_batch_is_folded_in_once(spark, tmp_path):
     index = InvertedIndex(spark, f"file://{tmp_path}/i", WhitespaceTokenizer())
     for _ in range(2):
@@ -127,6 +192,24 @@ def test_listing(spark, tmp_path):
     assert not DefaultFilter().takes_file("/a/b.txt", 50_000_001) and DefaultFilter().takes_file("/a/b.txt", 50_000_000)
 
 
+def test_a_large_folder_is_listed_in_parts(spark, tmp_path, monkeypatch):
+    from textlode.sources import walk as w
+
+    for i in range(60):
+        path = tmp_path / ("flat" if i % 2 else f"d{i % 7}/e{i % 3}") / f"f{i}.txt"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(str(i))
+    (tmp_path / "top.txt").write_text("top")
+    want = sorted(p for p, _ in walk(str(tmp_path), DefaultFilter()))
+    for parts, together in ((256, 10_000), (256, 4), (3, 4), (1, 4)):
+        monkeypatch.setattr(w, "PARTS", parts)
+        monkeypatch.setattr(w, "FILES_TOGETHER", together)
+        reader = w._Reader({"roots": w.packed([str(tmp_path)]), "filter": w.packed(DefaultFilter()), "contents": "false"})
+        made = reader.partitions()
+        assert sorted(row[0] for p in made for row in reader.read(p)) == want
+        assert len(made) >= (8 if together == 4 and parts > 1 else 1)
+
+
 def test_watching(spark, tmp_path):
     root = tmp_path / "in"
     write(root, p1="one two three", p2="three four five")

@@ -6,6 +6,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 LONGEST = 255
 
@@ -104,3 +105,24 @@ def grouped(spans: Spans) -> tuple[np.ndarray, pa.Array, pa.Array]:
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(spans.position[order], pa.int32()))
     return spans.doc[order][first], coded.dictionary.take(pa.array(code[order][first])), lists
+
+
+def _widths(texts: pa.Array) -> np.ndarray:
+    """UTF-16 code units of each string."""
+    data, at = _raw(texts)
+    return np.diff(_units(data)[at])
+
+
+def alternating(gaps: pa.ListArray, found: pa.ListArray | None, width: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(row, position) of each match of texts that are given as ``gaps`` between matches and what was ``found``, or as
+    gaps alone if all matches are ``width`` UTF-16 units wide. A row of n gaps has n - 1 matches; a null row has none."""
+    counts = pc.fill_null(pc.list_value_length(gaps), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    hits = np.maximum(counts - 1, 0)
+    row = np.repeat(np.arange(len(gaps)), hits)
+    first = np.cumsum(counts) - counts
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(hits) - hits, hits)
+    before = _widths(gaps.flatten())[first[row] + nth]
+    own = np.full(len(row), width, np.int64) if found is None else _widths(found.flatten())
+    ends = np.cumsum(before + own)
+    base = np.append(0, ends)[np.cumsum(hits) - hits]
+    return row, ends - own - base[row]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -9,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import utf16_width
-from .tokenizers import TrigramTokenizer
+from ..functions.spans import alternating
+from ..functions.text import quoted, utf16_width
+from .tokenizers import RegexTokenizer, TrigramTokenizer
 
 HITS = "doc_id bigint, position int"
 
@@ -40,27 +42,36 @@ def phrase_hits(postings: DataFrame, query: str) -> DataFrame:
 def scan_hits(texts: DataFrame, term: str) -> DataFrame:
     """(doc_id, position) of the non-overlapping occurrences of ``term`` in ``texts``(doc_id, text).
 
-    Only texts that contain it leave the JVM.
+    Texts that contain it are split at it by built-in functions; workers only sum the lengths of the pieces.
     """
     if not term:
         raise ValueError("an empty term would match everywhere")
-    return texts.where(F.contains("text", F.lit(term))).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(partial(_occurrences, term), HITS)
+    pieces = texts.where(F.contains("text", F.lit(term))).select(F.col("doc_id").cast("bigint"), F.split("text", quoted(term), -1).alias("gaps"))
+    return pieces.mapInArrow(partial(_occurrences, utf16_width(term)), HITS)
 
 
-def _occurrences(term: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _occurrences(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, places = [], []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            plain = text.isascii() or max(text) <= "\uffff"
-            at = text.find(term)
-            last = units = 0
-            while at >= 0:
-                units = at if plain else units + utf16_width(text[last:at])
-                ids.append(doc_id)
-                places.append(units)
-                last = at
-                at = text.find(term, at + len(term))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32())], ["doc_id", "position"])
+        row, position = alternating(batch.column("gaps"), None, width)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(position, pa.int32())], ["doc_id", "position"])
+
+
+def regex_hits(texts: DataFrame, pattern: str, postings: DataFrame | None = None) -> DataFrame:
+    """(doc_id, position) of the matches of a Java regular expression; with trigram ``postings``, only texts that hold
+    the longest literal that every match must hold are looked at."""
+    literal = required_literal(pattern)
+    if postings is not None and len(literal) >= 3:
+        texts = texts.join(phrase_hits(postings, literal).select("doc_id").distinct(), "doc_id", "left_semi")
+    return RegexTokenizer(pattern).tokenize(texts.where(F.col("text").rlike(pattern))).select("doc_id", "position")
+
+
+def required_literal(pattern: str) -> str:
+    """A longest run of plain characters that every match holds; "" for patterns with groups, classes of flags or
+    alternatives, of which nothing is said."""
+    if any(c in pattern for c in "|(){}\\"):
+        return ""
+    plain = re.sub(r"\[\^?\]?[^\]]*\][*+?]*|.[*?][+?]?", "\0", pattern)  # classes and what may be missing
+    return max(re.split(r"[\0.^$+*?\[\]]", plain), key=len)
 
 
 def live(hits: DataFrame, documents: DataFrame, term: str) -> DataFrame:

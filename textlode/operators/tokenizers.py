@@ -9,11 +9,11 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import Spans, grouped, trigram_spans, whitespace_spans
-from ..functions.text import lenient_text, strict_text, utf16_length, utf16_width
+from ..functions.spans import Spans, alternating, grouped, trigram_spans, whitespace_spans
+from ..functions.text import lenient_text, strict_text, utf16_width
 
 TOKENS = "doc_id bigint, tok string, position int"
 POSTINGS = "tok string, doc_id bigint, positions array<int>"
@@ -111,9 +111,9 @@ class TrigramTokenizer(_Spanned):
 class RegexTokenizer(Tokenizer):
     """Leftmost non-overlapping matches of a Java regular expression; malformed UTF-8 is replaced.
 
-    Matches and the gaps between them come from built-in functions; a position is the running length of both. The
-    texts, not their tokens, are spread by doc_id for that. A pattern that can match nothing also yields empty tokens,
-    for which a Python worker searches instead, with Python's syntax.
+    Matches and the gaps between them come from built-in functions; a position is the running length of both, which
+    workers sum for a batch of texts at once. Nothing is exchanged. A pattern that can match nothing also yields empty
+    tokens, for which a Python worker searches instead, with Python's syntax.
     """
 
     def __init__(self, pattern: str):
@@ -127,17 +127,20 @@ class RegexTokenizer(Tokenizer):
         docs = docs.select(F.col("doc_id").cast("bigint"), "text")
         if self.may_be_empty:
             return docs.mapInArrow(partial(_searched, self.pattern), TOKENS)
-        row = docs.withColumn("_row", F.monotonically_increasing_id()).repartition("_row")
-        both = row.select("doc_id", "_row", F.regexp_extract_all("text", F.lit(self.pattern), F.lit(0)).alias("m"), F.split("text", self.pattern, -1).alias("g"))
-        parts = both.select("doc_id", "_row", F.posexplode("m").alias("i", "tok"), "g").select("doc_id", "_row", "i", "tok", F.get("g", F.col("i")).alias("gap"))
-        parts = parts.withColumns({"own": utf16_length(F.col("tok")), "skip": utf16_length(F.col("gap"))})
-        upto = Window.partitionBy("_row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-        return parts.select("doc_id", "tok", (F.sum(F.col("own") + F.col("skip")).over(upto) - F.col("own")).cast("int").alias("position"))
+        both = docs.select("doc_id", F.regexp_extract_all("text", F.lit(self.pattern), F.lit(0)).alias("found"), F.split("text", self.pattern, -1).alias("gaps"))
+        return both.mapInArrow(_matched, TOKENS)
 
     def tokens_of(self, text: str) -> list[tuple[str, int]]:
         return [(m.group(), utf16_width(text[: m.start()])) for m in self._found.finditer(text)]
 
 
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = batch.column("found")
+        row, position = alternating(batch.column("gaps"), found)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), found.flatten(), pa.array(position, pa.int32())], ["doc_id", "tok", "position"])
+
+
 def _searched(pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import regex
 

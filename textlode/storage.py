@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
@@ -46,3 +47,8 @@ def drop(spark: SparkSession, path: str) -> None:
     """Deletes a scratch table that no unread DataFrame needs."""
     fs, p = file_system(spark, path)
     fs.delete(p, True)
+
+
+def arrow_files(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """(Arrow's file system of a path or URI, the path in it), for processes without a session."""
+    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
