@@ -114,14 +114,15 @@ def _widths(texts: pa.Array) -> np.ndarray:
 
 
 def alternating(gaps: pa.ListArray, found: pa.ListArray | None, width: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(row, position) of each match of texts that are given as ``gaps`` between matches and what was ``found``, or as
-    gaps alone if all matches are ``width`` UTF-16 units wide. A row of n gaps has n - 1 matches; a null row has none."""
+    """(row, position) of each match of texts that are given as widths of the ``gaps`` between matches and what was
+    ``found``, or by gaps alone if all matches are ``width`` UTF-16 units wide. A row of n gaps has n - 1 matches; a
+    null row has none."""
     counts = pc.fill_null(pc.list_value_length(gaps), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     hits = np.maximum(counts - 1, 0)
     row = np.repeat(np.arange(len(gaps)), hits)
     first = np.cumsum(counts) - counts
     nth = np.arange(len(row)) - np.repeat(np.cumsum(hits) - hits, hits)
-    before = _widths(gaps.flatten())[first[row] + nth]
+    before = gaps.flatten().to_numpy(zero_copy_only=False).astype(np.int64)[first[row] + nth]
     own = np.full(len(row), width, np.int64) if found is None else _widths(found.flatten())
     ends = np.cumsum(before + own)
     base = np.append(0, ends)[np.cumsum(hits) - hits]

@@ -32,6 +32,12 @@ def utf16_length(text: Column) -> Column:
     return F.when(text.rlike(ASTRAL), F.length(text) + F.regexp_count(text, F.lit(ASTRAL))).otherwise(F.length(text))
 
 
+def gap_widths(text: Column, pattern: str) -> Column:
+    """UTF-16 lengths of what lies before, between and after the matches of a Java regular expression."""
+    gaps = F.split(text, pattern, -1)
+    return F.when(text.rlike(ASTRAL), F.transform(gaps, utf16_length)).otherwise(F.transform(gaps, F.length))
+
+
 def quoted(term: str) -> str:
     """``term`` as a literal in a Java regular expression."""
     return r"\Q" + term.replace(r"\E", r"\E\\E\Q") + r"\E"

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import alternating
-from ..functions.text import quoted, utf16_width
+from ..functions.text import gap_widths, quoted, utf16_width
 from .tokenizers import RegexTokenizer, TrigramTokenizer
 
 HITS = "doc_id bigint, position int"
@@ -46,7 +46,7 @@ def scan_hits(texts: DataFrame, term: str) -> DataFrame:
     """
     if not term:
         raise ValueError("an empty term would match everywhere")
-    pieces = texts.where(F.contains("text", F.lit(term))).select(F.col("doc_id").cast("bigint"), F.split("text", quoted(term), -1).alias("gaps"))
+    pieces = texts.where(F.contains("text", F.lit(term))).select(F.col("doc_id").cast("bigint"), gap_widths(F.col("text"), quoted(term)).alias("gaps"))
     return pieces.mapInArrow(partial(_occurrences, utf16_width(term)), HITS)
 
 

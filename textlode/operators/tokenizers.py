@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import Spans, alternating, grouped, trigram_spans, whitespace_spans
-from ..functions.text import lenient_text, strict_text, utf16_width
+from ..functions.text import gap_widths, lenient_text, strict_text, utf16_width
 
 TOKENS = "doc_id bigint, tok string, position int"
 POSTINGS = "tok string, doc_id bigint, positions array<int>"
@@ -127,7 +127,7 @@ class RegexTokenizer(Tokenizer):
         docs = docs.select(F.col("doc_id").cast("bigint"), "text")
         if self.may_be_empty:
             return docs.mapInArrow(partial(_searched, self.pattern), TOKENS)
-        both = docs.select("doc_id", F.regexp_extract_all("text", F.lit(self.pattern), F.lit(0)).alias("found"), F.split("text", self.pattern, -1).alias("gaps"))
+        both = docs.select("doc_id", F.regexp_extract_all("text", F.lit(self.pattern), F.lit(0)).alias("found"), gap_widths(F.col("text"), self.pattern).alias("gaps"))
         return both.mapInArrow(_matched, TOKENS)
 
     def tokens_of(self, text: str) -> list[tuple[str, int]]:
