@@ -1,5 +1,6 @@
 """The pipeline's stages against a brute-force reading of what each leaves, and all ten queries on a small table."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -11,7 +12,7 @@ from textlode.llm import kneser_ney, packing, quality_rules
 from textlode.llm.queries import QUERIES
 from textlode.llm.shared import written
 
-from .cases import empty
+from .cases import awkward, awkward_rows, empty, labels, prose, table
 from .test_exact_dedup import brute
 from .test_packing import check
 
@@ -34,6 +35,28 @@ def test_stages(spark):
     check([tuple(r) for r in before], corpus_pipeline.run(spark, SF).collect(), packing.WINDOW)
 
 
+def test_awkward_rows_and_clashing_columns(spark, tmp_path):
+    """Nulls, empty and very long texts, ties, repeats and columns with the operators' own names, through all stages."""
+    rng = random.Random(6)
+    good = [(1000 + i, prose(rng, rng.randrange(5, 80)), "en", "s", 1) for i in range(300)]
+    bad = [(2000 + i, " ".join(rng.choice(["$$", "##", "x|x"]) for _ in range(40)), "xx", "s", 1) for i in range(100)]
+    awkward(spark, awkward_rows() + good + bad).write.parquet(f"{tmp_path}/documents.parquet")
+    labels(spark, [(r[0], int(r[0] < 2000), 0) for r in good + bad]).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns, kept = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs, _ = written(stage(spark, docs, str(tmp_path)), "test")
+        assert docs.columns == columns
+        kept[name] = table(docs, "doc_id", "text")
+    wordless = [r for r in awkward_rows() if not (r[1] or "").strip()]
+    assert wordless and not any((r[0], r[1]) in kept["quality classifier"] for r in wordless)
+    assert not any(i and i >= 2000 for i, _ in kept["quality rules"]) and sum(bool(i and 1000 <= i < 2000) for i, _ in kept["quality rules"]) >= 290
+    assert kept["exact dedup"] == brute([(i, t) for i, t in kept["quality rules"]])
+    assert len([i for i, t in kept["near dedup"] if t == "one two three four five"]) == 1 and set(kept["near dedup"]) <= set(kept["exact dedup"])
+    windows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    check(kept["near dedup"], windows, packing.WINDOW)
+
+
 def test_filters_depend_on_their_own_rows_only(spark):
     """A filtering stage decides each row by what it learned, whatever else is in the table."""
     docs, own = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
