@@ -19,9 +19,9 @@ from .shared import by_bytes, in_arrow, plain, written
 
 #: Token ids of a window, open windows of a task, leftover windows that a task merges, the id after each text: the one
 #: beyond the vocabulary's own.
-WINDOW, OPEN, LEFTOVERS, SEPARATOR = 8192, 64, 4096, 50_256
+WINDOW, OPEN, LEFTOVERS, SEPARATOR = 8192, 64, 1024, 50_256
 #: Token ids in a batch that goes back.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 PACKED = "window bigint, fill int, doc_ids array<bigint>, starts array<int>, lengths array<int>, ids array<int>, open boolean"
 NAMES = ["window", "fill", "doc_ids", "starts", "lengths", "ids", "open"]
 
