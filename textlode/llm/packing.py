@@ -20,8 +20,8 @@ from .shared import by_bytes, in_arrow, plain, written
 #: Token ids of a window, open windows of a task, leftover windows that a task merges, the id after each text: the one
 #: beyond the vocabulary's own.
 WINDOW, OPEN, LEFTOVERS, SEPARATOR = 8192, 64, 1024, 50_256
-#: Token ids in a batch that goes back.
-AT_ONCE = 1 << 18
+#: Token ids in a batch that goes back; bytes of a row group of stored windows.
+AT_ONCE, BLOCK = 1 << 18, 4 << 20
 PACKED = "window bigint, fill int, doc_ids array<bigint>, starts array<int>, lengths array<int>, ids array<int>, open boolean"
 NAMES = ["window", "fill", "doc_ids", "starts", "lengths", "ids", "open"]
 
@@ -152,14 +152,14 @@ def pack(docs: DataFrame, window: int = WINDOW, keep: int = OPEN, leftovers: int
     if keep < 1 or leftovers < 2 * keep:
         raise ValueError("a merging task must take in twice the windows that it keeps open, so that rounds end")
     rows = docs.select(plain(docs, "doc_id", "bigint").alias("doc_id"), plain(docs, "text", "string").alias("text"))
-    placed, _ = written(in_arrow(rows, partial(_texts, vocabulary(docs, path), window, keep), PACKED), "packed")
+    placed, _ = written(in_arrow(rows, partial(_texts, vocabulary(docs, path), window, keep), PACKED), "packed", BLOCK)
     done, round_, tasks = [placed.where("not open")], 0, 2
     while tasks > 1:
         left = placed.where("open")
         tasks, round_ = -(-left.count() // leftovers) or 1, round_ + 1
         laid = left.repartition(tasks, F.xxhash64("window")) if tasks > 1 else left.repartition(1)
         merged = in_arrow(laid.sortWithinPartitions(F.desc("fill"), "window"), partial(_leftovers, window, keep, round_), PACKED)
-        placed, _ = written(merged, f"packed{round_}")
+        placed, _ = written(merged, f"packed{round_}", BLOCK)
         done.append(placed if tasks == 1 else placed.where("not open"))
     out = done[0]
     for more in done[1:]:

@@ -56,14 +56,16 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(p).getLength())
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def written(df: DataFrame, name: str, block: int | None = None) -> tuple[DataFrame, str]:
     """Writes ``df`` to a scratch table and returns the table, cut from its lineage, and its path.
 
-    Unlike a local checkpoint it survives the loss of any executor.
+    Unlike a local checkpoint it survives the loss of any executor. ``block`` bounds the bytes of a row group, and so
+    what a writer gathers and how many long rows a reader takes at once.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    writer = df.write if block is None else df.write.option("parquet.block.size", block)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
