@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from textlode.llm import kneser_ney as kn
+from textlode.llm import labelled
 
 from .cases import SCHEMA, awkward, awkward_rows, empty, labels, prose, table
 
@@ -90,6 +91,58 @@ def test_thresholds_against_brute_force(spark):
         assert got[lang] == pytest.approx((mean, want), abs=1e-4)
 
 
+def test_all_labelled_documents_count(spark):
+    """More labelled documents of a language than a sample would take: each trains the model or sets the threshold."""
+    rng, vocabulary = random.Random(13), [f"w{i}" for i in range(60)]
+    rows = [(i, prose(rng, rng.randrange(1, 8), vocabulary), "en", "s", 1) for i in range(5000)]
+    docs, own = spark.createDataFrame(rows, SCHEMA).repartition(5), labels(spark, [(i, 1, 0) for i in range(5000)])
+    _, got = kn.quality_model(docs, own)
+    held = {r.id for r in spark.range(5000).where("pmod(xxhash64(3, id), 3) = 0").collect()}
+    brute, scores = Brute([t for i, t, *_ in rows if i not in held]), []
+    for i, t, *_ in rows:
+        if i in held:
+            w = ["<s>", "<s>", *t.split()]
+            scores.append((-sum(math.log(brute.p(*three)) for three in zip(w, w[1:], w[2:])), len(w) - 2))
+    mean = sum(s for s, _ in scores) / sum(n for _, n in scores)
+    want = np.quantile([(s + kn.PRIOR * mean) / (n + kn.PRIOR) for s, n in scores], kn.QUANTILE)
+    assert got["en"] == pytest.approx((mean, want), abs=1e-5)
+
+
+def test_more_shards_and_passes_change_nothing(spark, monkeypatch):
+    """A model cut into many shards that are counted in several passes, of languages whose names begin alike."""
+    rng = random.Random(14)
+    texts = {lang: [prose(rng, rng.randrange(1, 40), [f"w{i}" for i in range(n)]) for _ in range(80)] for lang, n in (("language-a", 30), ("language-b", 45))}
+    monkeypatch.setattr(kn, "SHARD_BYTES", 1000)
+    model = kn.train(spark.createDataFrame([(t, lang) for lang, own in texts.items() for t in own], "text string, lang string").repartition(4))
+    shards = kn._load(model.path)
+    assert shards.bits > kn.LEAST_BITS
+    asked = [prose(rng, 12, [*(f"w{i}" for i in range(45)), "never", "seen"]) for _ in range(20)]
+    for lang, own in texts.items():
+        brute = Brute(own)
+        _, logp = kn.log_probabilities(shards, model.unknown, pa.array(asked), [lang] * len(asked))
+        want = [math.log(brute.p(*three)) for t in asked for w in [["<s>", "<s>", *t.split()]] for three in zip(w, w[1:], w[2:])]
+        assert np.allclose(logp, want, atol=1e-9)
+
+
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_all_labelled_by_language(spark, monkeypatch, broadcast):
+    """Every labelled document with a language, the least text of those that come more than once, whether or not their
+    ids are few enough to broadcast; all of them, some and none come once."""
+    monkeypatch.setattr(labelled, "BROADCAST", broadcast)
+    marks = [(i, i % 3 % 2, 0) for i in range(200)] + [(1, 0, 0), (None, 1, 0), (5, None, 0)]
+    quality = {}
+    for i, q, _ in marks:
+        if i is not None and q is not None:
+            quality[i] = min(q, quality.get(i, q))
+    for rows in (awkward_rows(), [r for r in awkward_rows() if r[0] == 1], [r for r in awkward_rows() if r[0] and r[0] > 99], []):
+        want: dict = {}
+        for i, t, lang, *_ in rows:
+            if i in quality and lang is not None:
+                want[i, lang] = min((x for x in (want.get((i, lang)), t) if x is not None), default=None)
+        got = table(kn.labelled_sample(awkward(spark, rows).repartition(3), labels(spark, marks), None, by_language=True))
+        assert got == sorted(((i, t, lang, quality[i]) for (i, lang), t in want.items()), key=repr)
+
+
 def test_sample_by_language(spark):
     """Each language has its own bound; which documents are taken doesn't depend on the order of rows."""
     rows = [(i, f"t{i}", "en" if i % 50 else "fr", "s", 1) for i in range(1000)]
