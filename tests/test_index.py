@@ -1,9 +1,11 @@
 import os
+import random
 import threading
 import time
 
 import pytest
 
+import textlode.index as stored_index
 from textlode.facade import TextIndex
 from textlode.filters import DefaultFilter, FileFilter
 from textlode.index import InvertedIndex
@@ -72,6 +74,35 @@ def test_of_repeated_paths_the_greatest_content_counts(spark, tmp_path):
     assert hits(index, StandardResolver(), "x") == [("p", 2), ("q", 0)] and hits(index, StandardResolver(), "a") == []
 
 
+def stages(spark):
+    """{stage: (bytes read from shuffles, bytes written to shuffles)} so far."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    empty = spark._jvm.java.util.ArrayList()
+    listed = store.stageList(empty, False, False, gateway.new_array(spark._jvm.double, 0), empty)
+    return {(s := listed.apply(i)).stageId(): (s.shuffleReadBytes(), s.shuffleWriteBytes()) for i in range(listed.size())}
+
+
+def exchanged(spark, run):
+    """Bytes that ``run`` writes to shuffles."""
+    before = set(stages(spark))
+    run()
+    return sum(written for stage, (_, written) in stages(spark).items() if stage not in before)
+
+
+@pytest.mark.parametrize("most", [20_000, 1])
+def test_contents_of_hot_paths_are_compared_where_they_lie(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(stored_index, "REPEATED", most)
+    rows = [("ab"[i % 2] if i < 400 else f"p{i}", bytearray(random.Random(i).randbytes(10_000).hex().encode())) for i in range(420)]
+    given = spark.createDataFrame(rows, "path string, content binary").repartition(4)
+    index = InvertedIndex(spark, f"file://{tmp_path}/i", TrigramTokenizer())
+    kept = index._greatest(given)
+    moved = exchanged(spark, lambda: kept.write.format("noop").mode("overwrite").save())
+    assert sorted((r.path, bytes(r.content)) for r in kept.collect()) == sorted((p, max(bytes(c) for q, c in rows if q == p)) for p in {p for p, _ in rows})
+    if most > 1:
+        assert moved - exchanged(spark, lambda: given.write.format("noop").mode("overwrite").save()) < 1 << 20
+
+
 def test_searches_beside_a_writer(spark, tmp_path):
     """Each search sees whole batches, whichever: ten documents of one batch number, or none of it."""
     index, errors, done = InvertedIndex(spark, f"file://{tmp_path}/i", WhitespaceTokenizer()), [], threading.Event()
