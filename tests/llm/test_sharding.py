@@ -70,3 +70,14 @@ def test_query_equals_sql(spark, name):
     assert table(got, *want.columns) == sorted(want.fetchall(), key=repr)
     if name == "fine_shards":
         assert len({r.shard for r in got.collect()}) > 20 and len({r.depth for r in got.collect()}) > 1
+
+
+def test_texts_above_the_limit_have_rows_that_sql_leaves_out(spark):
+    source = "/root/testdata/sf0.1/documents.parquet"
+    got = table(QUERIES["fine_shards"](spark, "/root/testdata/sf0.1"), "doc_id", "shard", "depth", "part", "bytes")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{source}'")
+    want = con.sql(ORACLES["fine_shards"]).select("doc_id, shard, depth, part, bytes").fetchall()
+    large = {r[0] for r in con.sql(f"SELECT doc_id FROM documents WHERE octet_length(encode(text)) > {64 << 10}").fetchall()}
+    assert large and [r for r in got if r[0] not in large] == sorted(want, key=repr)
+    assert {r[0] for r in got if r[0] in large} == large and all(r[2] == sharding.BITS for r in got if r[0] in large)
