@@ -12,7 +12,7 @@ from textlode.index import InvertedIndex
 from textlode.operators.resolvers import FullScanResolver, RegexResolver, StandardResolver, TrigramResolver
 from textlode.operators.search import by_document, required_literal, scan_hits
 from textlode.operators.tokenizers import RegexTokenizer, TrigramTokenizer, WhitespaceTokenizer
-from textlode.sources.walk import read_folders, walk
+from textlode.sources.walk import outermost, read_folders, walk
 
 
 def contents(spark, **files):
@@ -269,3 +269,28 @@ def test_watching(spark, tmp_path):
         index.stop_watching()
         thread.join(30)
     assert events[0] == "WATCHER_CREATED" and "INDEX_UPDATED" in events
+
+
+def test_nested_roots_are_read_once_and_whole(spark, tmp_path):
+    root = tmp_path / "in"
+    for name in ("p.txt", "a/b/q.txt", "a/.hid/r.txt", "a/.hid/c/s.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("x")
+    os.symlink(root, root / "a/b/up")
+    given = [str(root), str(root / "a/b"), str(root), str(root / "a/.hid"), str(root / "a/.hid/c")]
+    got = [r.path for r in read_folders(spark, given).collect()]
+    assert sorted(got) == sorted({p for r in given for p, _ in walk(r, DefaultFilter())}) and f"{root}/a/b/up/p.txt" in got
+    assert outermost(given, DefaultFilter()) == [str(root), str(root / "a/.hid")]
+
+
+def test_files_come_in_small_batches_and_folders_are_listed_once(tmp_path, monkeypatch):
+    from textlode.sources import walk as w
+
+    for i in range(50):
+        (tmp_path / f"f{i}.txt").write_bytes(bytes(200_000))
+    monkeypatch.setattr(w, "FILES_TOGETHER", 20)
+    reader = w._BatchReader({"roots": w.packed([str(tmp_path)]), "filter": w.packed(DefaultFilter())})
+    parts = reader.partitions()
+    monkeypatch.setattr(os, "scandir", None)  # parts know their files
+    batches = [b for p in parts for b in reader.read(p)]
+    assert sum(b.num_rows for b in batches) == 50 and max(b.nbytes for b in batches) < w.AT_ONCE + 300_000
