@@ -294,3 +294,10 @@ def test_files_come_in_small_batches_and_folders_are_listed_once(tmp_path, monke
     monkeypatch.setattr(os, "scandir", None)  # parts know their files
     batches = [b for p in parts for b in reader.read(p)]
     assert sum(b.num_rows for b in batches) == 50 and max(b.nbytes for b in batches) < w.AT_ONCE + 300_000
+
+
+@pytest.mark.parametrize("tokenizer", [WhitespaceTokenizer(), TrigramTokenizer(), RegexTokenizer("[a-z]+"), RegexTokenizer("[a-z]*")])
+def test_workers_get_small_batches(spark, tokenizer):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    tokenizer.tokenize(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")).collect()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) <= 4 << 20

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import alternating
 from ..functions.text import gap_widths, quoted, utf16_width
+from ..workers import in_arrow
 from .tokenizers import RegexTokenizer, TrigramTokenizer
 
 HITS = "doc_id bigint, position int"
@@ -47,7 +48,7 @@ def scan_hits(texts: DataFrame, term: str) -> DataFrame:
     if not term:
         raise ValueError("an empty term would match everywhere")
     pieces = texts.where(F.contains("text", F.lit(term))).select(F.col("doc_id").cast("bigint"), gap_widths(F.col("text"), quoted(term)).alias("gaps"))
-    return pieces.mapInArrow(partial(_occurrences, utf16_width(term)), HITS)
+    return in_arrow(pieces, partial(_occurrences, utf16_width(term)), HITS)
 
 
 def _occurrences(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

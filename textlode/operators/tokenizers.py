@@ -89,10 +89,10 @@ class _Spanned(Tokenizer):
     spans: Callable[[pa.Array], Spans]
 
     def tokenize(self, docs: DataFrame) -> DataFrame:
-        return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(partial(_tokens, type(self).spans), TOKENS)
+        return in_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), partial(_tokens, type(self).spans), TOKENS)
 
     def postings(self, docs: DataFrame, only: list[str] | None = None) -> DataFrame:
-        return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(partial(_postings, type(self).spans, only), POSTINGS)
+        return in_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), partial(_postings, type(self).spans, only), POSTINGS)
 
     def packed(self, docs: DataFrame) -> DataFrame:
         return in_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), partial(_packed, type(self).spans), PACKED)
@@ -133,9 +133,9 @@ class RegexTokenizer(Tokenizer):
     def tokenize(self, docs: DataFrame) -> DataFrame:
         docs = docs.select(F.col("doc_id").cast("bigint"), "text")
         if self.may_be_empty:
-            return docs.mapInArrow(partial(_searched, self.pattern), TOKENS)
+            return in_arrow(docs, partial(_searched, self.pattern), TOKENS)
         both = docs.select("doc_id", F.regexp_extract_all("text", F.lit(self.pattern), F.lit(0)).alias("found"), gap_widths(F.col("text"), self.pattern).alias("gaps"))
-        return both.mapInArrow(_matched, TOKENS)
+        return in_arrow(both, _matched, TOKENS)
 
     def tokens_of(self, text: str) -> list[tuple[str, int]]:
         return [(m.group(), utf16_width(text[: m.start()])) for m in self._found.finditer(text)]
@@ -152,7 +152,7 @@ def _searched(pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
     import regex
 
     found = regex.compile(pattern)
-    for batch in batches:
+    for batch in _slices(batches):
         ids, toks, places = [], [], []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             at = last = 0
