@@ -271,6 +271,22 @@ def test_watching(spark, tmp_path):
     assert events[0] == "WATCHER_CREATED" and "INDEX_UPDATED" in events
 
 
+def test_compacting_exchanges_postings_once_and_no_texts(spark, tmp_path):
+    index = InvertedIndex(spark, f"file://{tmp_path}/i", WhitespaceTokenizer())
+    dice = random.Random(0)
+    text = {f"p{i}": " ".join(dice.randbytes(8).hex() for _ in range(500)) for i in range(100)}
+    index.add(contents(spark, **text))
+    index.delete(spark.createDataFrame([("p3",)], "path string"))
+    words = sum(len(t) for t in text.values())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert exchanged(spark, index.compact) < 2.2 * words
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert hits(index, StandardResolver(), text["p3"].split()[0]) == [] and hits(index, StandardResolver(), text["p4"].split()[1]) == [("p4", 17)]
+    assert sorted(r.text for r in index.snapshot().texts.collect()) == sorted(t for p, t in text.items() if p != "p3")
+
+
 def test_nested_roots_are_read_once_and_whole(spark, tmp_path):
     root = tmp_path / "in"
     for name in ("p.txt", "a/b/q.txt", "a/.hid/r.txt", "a/.hid/c/s.txt"):
